@@ -170,8 +170,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     given = cores.select("key", "phrase").distinct().join(phrases, "phrase").groupBy("key").agg(F.collect_list("phrase").alias("phrases"))
 
     copies = docs.groupBy("key", F.xxhash64("text", F.lit(1)).alias("check")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    first = copies.join(given, "key").select("key", "id", "phrases")
-    texts = docs.join(first.withColumnRenamed("id", "first"), (docs["key"] == first["key"]) & docs["id"].eqNullSafe(F.col("first"))).select(docs["key"], "text", "phrases")
+    first = copies.join(given, "key").select(F.col("key").alias("k"), F.col("id").alias("first"), "phrases")
+    texts = docs.join(first, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("first"))).select("key", "text", "phrases")
     found = stored(located_windows(texts, window, core, shard_bytes))
     again = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     marked = found.join(again, "hash").groupBy("key").agg(bind(F.sort_array(F.collect_set("at")), lambda at: runs(at, window)).alias("spans"))
