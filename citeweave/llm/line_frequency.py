@@ -95,14 +95,15 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
 
 def line_frequency_rules(
     docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id", *,
-    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_distinct: float = MIN_DISTINCT, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
+    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_distinct: float = MIN_DISTINCT, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, with_row: bool = False,
 ) -> DataFrame:
     """One row a document of docs (id_col unique): its counts, base_failed, removed_words, depleted, kept, clean_text.
 
     Null and empty texts have no words, so base_failed holds and clean_text is as it came. A null host is a host of
-    its own. Other columns of docs are left out, whatever they are called. An empty table gives an empty one.
+    its own. Lines of rows that repeat an id are counted together. Other columns of docs are left out, whatever they are
+    called; with_row adds `row`, a struct of all of them. An empty table gives an empty one.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
+    docs = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
     lines = docs.select("id", "host", line_hashes(F.coalesce("text", F.lit(""))).alias("lines"), bind(words(F.col("text")), lambda ws: F.coalesce(F.array_min(three_word_hashes(ws)), F.xxhash64(F.array_join(ws, " ")))).alias("same"))
     frequent = frequent_lines(lines, min_docs, min_share, min_distinct).select("host", "line")
 
@@ -110,7 +111,7 @@ def line_frequency_rules(
     each = each.select("id", "host", "x.*").filter("n > 0")
     lost = each.join(frequent, ["host", "line"]).groupBy("id").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("removed"))
 
-    out = docs.select("id", "text", text_counts(F.col("text")).alias("c")).select("id", "text", "c.*").drop("same").join(lost, "id", "left")
+    out = docs.select("id", "text", "row", text_counts(F.col("text")).alias("c")).select("id", "text", "row", "c.*").drop("same").join(lost, "id", "left")
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     keep = lambda x: ~F.coalesce(F.array_contains("removed", F.xxhash64(normal_line(x))) & x.rlike(NOT_GAP), F.lit(False))
     out = out.withColumns(
@@ -121,4 +122,4 @@ def line_frequency_rules(
         }
     )
     clean = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), keep), "\n"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), clean.alias("clean_text"))
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), clean.alias("clean_text"), *(["row"] if with_row else []))

@@ -138,8 +138,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     more. Null, empty and wordless texts have no shingles and no links. Equal sets become one representative first, so
     exact copies cost nothing further. In each band bucket every representative is compared with the bucket's least and
     greatest one; what buckets then still hold more than one class is compared across classes, so no class is split for
-    want of a comparison, and a bucket of one class never yields its pairs. Rows repeating an id are one document (the
-    row with the least text); rows without an id are left out. Other columns are left out. No rows give no rows.
+    want of a comparison, and a bucket of one class never yields its pairs. Rows repeating an id are judged each by its
+    own text; rows without an id keep a null component_id and kept. Other columns are left out. No rows give no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sigs = checkpoint(signatures(docs, shingle))

@@ -155,7 +155,7 @@ def kept_words(ws: Column, covered: Column) -> Column:
     return F.when(n == 0, ws).otherwise(F.concat(F.flatten(before), F.slice(ws, tail + 1, F.size(ws) - tail)))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *, window: int = WINDOW, core: int = CORE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *, window: int = WINDOW, core: int = CORE, shard_bytes: int = SHARD_BYTES, with_row: bool = False) -> DataFrame:
     """One row a row of docs: id_col, n_words, n_removed, spans (start, stop of removed words), kept_text.
 
     A word goes if some window of `window` words over it (words are runs without ASCII white space, compared as they
@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     other. Other columns are left out. No rows give no rows.
     """
     # a text is known by two hashes: one joins, the second tells copies from the one chance in 2**64 of a clash
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    docs = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     cores = stored(cores_of(docs.select("key", "text"), window, core))
     phrases = cores.groupBy("phrase").agg(F.sum("many").alias("n")).filter("n > 1").select("phrase")
     given = cores.select("key", "phrase").distinct().join(phrases, "phrase").groupBy("key").agg(F.collect_list("phrase").alias("phrases"))
@@ -184,4 +184,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     whole = F.when(n >= window, F.array(F.struct(F.lit(0).alias("start"), n.alias("stop")))).otherwise(none)
     out = out.withColumn("spans", F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", none)))
     removed = F.aggregate("spans", F.lit(0), lambda a, r: a + r["stop"] - r["start"])
-    return out.select(F.col("id").alias(id_col), n.cast("long").alias("n_words"), removed.cast("long").alias("n_removed"), "spans", F.array_join(kept_words(F.col("words"), F.col("spans")), " ").alias("kept_text"))
+    return out.select(F.col("id").alias(id_col), n.cast("long").alias("n_words"), removed.cast("long").alias("n_removed"), "spans", F.array_join(kept_words(F.col("words"), F.col("spans")), " ").alias("kept_text"), *(["row"] if with_row else []))
