@@ -12,9 +12,11 @@ from array import array
 from functools import lru_cache
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces kept in a worker, about 120 bytes each; beyond it all are forgotten and learned anew.
-MAX_KEPT = 600_000
+#: Distinct pieces kept in a worker, about 130 bytes each; beyond it all are forgotten and learned anew.
+MAX_KEPT = 1_500_000
 BORDER = re.compile(r"(?<=\S)(?= \S)")
+#: Letters with marks behind them are two pre-tokens whatever the letters; an apostrophe might begin a contraction.
+TAIL = re.compile(r"([^\W\d_]+)([.,;:!?*%$&#|]+)")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,35 +41,57 @@ class Encoder:
         self.max_kept = max_kept
         #: By what stands after a space; None if a border cannot be trusted there.
         self.after_space: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
 
     def exact(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, parts: set[str]) -> None:
-        if len(self.after_space) + len(parts) > self.max_kept:
-            self.after_space.clear()
-        sound = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
-        self.after_space.update(dict.fromkeys(parts))
-        self.after_space.update(zip(sound, self.exact([" " + p for p in sound]), strict=True))
+        known, alone, tails, split = self.after_space, set(), set(), []
+        for p in parts:
+            if not p or p[0].isspace() or p[-1].isspace():
+                known[p] = None
+            elif (m := TAIL.fullmatch(p)) and m[1].isalpha():
+                split.append((p, m[1], m[2]))
+                tails.add(m[2])
+                if m[1] not in known:
+                    alone.add(m[1])
+            else:
+                alone.add(p)
+        listed = list(alone)
+        known.update(zip(listed, self.exact([" " + p for p in listed]), strict=True))
+        new = [t for t in tails if t not in self.tails]
+        self.tails.update(zip(new, self.exact(new), strict=True))
+        for p, word, tail in split:
+            known[p] = known[word] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        wanted = set().union(*split)
-        new = wanted - self.after_space.keys()
-        if len(self.after_space) + len(new) > self.max_kept:
+        if len(self.after_space) > self.max_kept:
             self.after_space.clear()
-            new = wanted
+            self.tails.clear()
+        get, known, rows, new = self.after_space.get, self.after_space, [], set()
+        for text in texts:
+            parts = text.split(" ")
+            found, gaps = list(map(get, parts)), []
+            found[0] = b""
+            if None in found:
+                gaps = [k for k, x in enumerate(found) if x is None]
+                new.update([parts[k] for k in gaps])
+            rows.append((parts, found, gaps))
+        new -= {p for p in new if p in known}  # irregular ones met before
         if new:
             self.learn(new)
-        heads = self.exact([s[0] if not s[0] or not s[0][-1].isspace() else "" for s in split])
-        get, out = self.after_space.__getitem__, []
-        for text, parts, head in zip(texts, split, heads, strict=True):
-            try:
-                if parts[0] and parts[0][-1].isspace():
-                    raise TypeError
-                out.append(head + b"".join(map(get, parts[1:])))
-            except TypeError:  # a run of white space somewhere: cut only where both sides are other characters
+        heads = self.exact([r[0][0] for r in rows])
+        out = []
+        for text, (parts, found, gaps), head in zip(texts, rows, heads, strict=True):
+            for k in gaps:
+                found[k] = known[parts[k]]
+            if (parts[0] and parts[0][-1].isspace()) or any(found[k] is None for k in gaps):
+                # a run of white space somewhere: cut only where both sides are other characters
                 out.append(b"".join(self.exact(BORDER.split(text))))
+            else:
+                found[0] = head
+                out.append(b"".join(found))
         return out
 
 
