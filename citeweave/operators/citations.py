@@ -17,7 +17,7 @@ def strip_comments(text: Column) -> Column:
 def cited_keys(text: Column) -> Column:
     """Distinct keys of the citation commands in a text, comments left out, in order of first occurrence."""
     groups = F.regexp_extract_all(strip_comments(F.coalesce(text, F.lit(""))), F.lit(CITE), 2)
-    return F.array_distinct(F.array_remove(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), F.trim), ""))
+    return F.array_distinct(F.array_remove(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda x: F.trim(x)), ""))
 
 
 def citations(texts: DataFrame, text: str = "text", source: str = "file") -> DataFrame:

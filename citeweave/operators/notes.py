@@ -52,7 +52,7 @@ def plain_keywords(raw: Column) -> Column:
 def split_compound(keywords: Column) -> Column:
     """Keywords that are several, apart."""
     parts = F.flatten(F.transform(keywords, lambda k: F.split(k, r" - | – | — | / ")))
-    return F.array_distinct(F.array_remove(F.transform(parts, F.trim), ""))
+    return F.array_distinct(F.array_remove(F.transform(parts, lambda x: F.trim(x)), ""))
 
 
 def keywords_yaml(keywords: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from citeweave.plans import entry_queries, metric_queries, pipeline_queries
+
+QUERIES = entry_queries.QUERIES | metric_queries.QUERIES | pipeline_queries.QUERIES
+ORACLE = entry_queries.ORACLE | metric_queries.ORACLE | pipeline_queries.ORACLE
 
 
 def flagship(spark, sf_dir):
+    """Citations of LaTeX texts semi-joined with a bibliography."""
     return QUERIES["cited_filter"](spark, sf_dir)

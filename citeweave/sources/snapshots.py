@@ -99,7 +99,7 @@ def europepmc(results: DataFrame) -> DataFrame:
         initials = (F.length(last) <= 3) & (F.upper(last) == last) & F.contains(n, F.lit(" "))
         return F.when(initials, person(last, F.regexp_replace(n, r"\s+\S+$", ""))).otherwise(flat_name(n))
 
-    names = F.array_remove(F.transform(F.split(F.regexp_replace(F.coalesce("authorString", F.lit("")), r"\.$", ""), ", "), F.trim), "")
+    names = F.array_remove(F.transform(F.split(F.regexp_replace(F.coalesce("authorString", F.lit("")), r"\.$", ""), ", "), lambda x: F.trim(x)), "")
     rows = results.filter(F.coalesce("source", F.lit("")) != "PPR")
     return record(rows, "europepmc", title=F.regexp_replace("title", r"\.$", ""), authors=F.transform(names, split), journal=F.col("journalTitle"), year=F.col("pubYear").try_cast("int"), volume=F.col("journalVolume"), number=F.col("issue"), pages=F.col("pageInfo"), type=F.lit("journal-article"), doi=doi_normalize(F.col("doi")))
 
