@@ -14,16 +14,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import checkpoint, in_batches
+from citeweave.llm.common import checkpoint, in_batches, stored
 from citeweave.llm.components import connected_components
 from citeweave.llm.hashing import CHUNK, mix, run_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: A pair at similarity 0.8 shares no band with a chance of (1 - 0.8**5)**40 = 1.2e-7.
-BANDS, ROWS = 40, 5
+#: A pair at similarity 0.8 shares no band with a chance of (1 - 0.8**7)**64 = 2.7e-7; one at 0.1 shares one with 6e-6.
+BANDS, ROWS = 64, 7
 SKETCH_BITS = 512
+#: MinHash samples and bits of the finer sketches, made only for documents that share a bucket.
+FINE_SAMPLES, FINE_BITS = 1792, 2048
+#: Members of a bucket that are compared with one another at once; larger buckets are cut into such blocks.
+BLOCK = 1024
 #: Standard deviations of the MinHash estimate that a candidate may fall short of the threshold.
-SLACK = 8
+SLACK = 6
+#: Candidates of a document that a round looks at in full, those of most alike sketches, and rounds before whatever
+#: buckets still hold several classes are compared across all of these.
+BEST, ROUNDS = 2, 6
+#: A round that finds less than this share of the first one's links is the last.
+MIN_GAIN = 0.02
 #: Columns of shingle hashes permuted at once, for the processor's cache.
 STRIP = 512
 
@@ -103,11 +112,84 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, shingles, fine) of docs (id, text): the full set and the finer odd sketch."""
+
     def run(batches):
+        f = MinHash(FINE_SAMPLES, 1, FINE_BITS, seed=11)
         for ids, texts in text_batches(batches, ("id", "text")):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in shingle_sets(texts, k)], pa.list_(pa.int64()))], ["id", "shingles"])
+            sets = shingle_sets(texts, k)
+            fine = [f.sketch(f.samples(s)).tobytes() if len(s) else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["id", "shingles", "fine"])
+
+    return docs.mapInArrow(run, "id long, shingles array<long>, fine binary")
+
+
+def runs_of(batches, keys: list[str]):
+    """Tables of successive rows with equal keys, over batch borders."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        change = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            x = t[k].to_numpy()
+            change |= x[1:] != x[:-1]
+        at = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield t.slice(a, b - a)
+        held = t.slice(at[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def links_in_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) between different classes of a group, of rows (group, i, j, block, id, class, shingles, fine).
+
+    A pair of blocks (i, j) holds BLOCK rows a side at most, so the work of a large group is spread over tasks. All finer
+    sketches are compared, what they do not rule out is confirmed on full sets, and only links leave the task; pairs of
+    classes that a link has joined are not looked at again.
+    """
+    limit = most_differing_bits(percent, FINE_SAMPLES, FINE_BITS)
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    def run(batches):
+        for t in runs_of(batches, ["group", "i", "j"]):
+            ids, classes, block = (t[c].to_numpy() for c in ("id", "class", "block"))
+            if len(ids) < 2 or (classes == classes[0]).all():
+                continue
+            sets = [np.asarray(x.values) for x in t["shingles"]]
+            n = np.array([len(x) for x in sets])
+            fine = np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint64).reshape(len(ids), -1)
+            left, right = np.flatnonzero(block == t["i"][0].as_py()), np.flatnonzero(block == t["j"][0].as_py())
+            root = {c: c for c in classes.tolist()}
+
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            out: list[list[int]] = [[], []]
+            for k in range(0, len(left), 64):
+                x = left[k : k + 64]
+                ok = (classes[x][:, None] != classes[right][None, :]) & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :]))
+                p, q = np.nonzero(ok)
+                p, q = x[p], right[q]
+                for c in range(0, len(p), 1 << 14):
+                    u, v = p[c : c + (1 << 14)], q[c : c + (1 << 14)]
+                    near = np.bitwise_count(fine[u] ^ fine[v]).sum(axis=1) <= limit
+                    for a, b in zip(u[near].tolist(), v[near].tolist(), strict=True):
+                        ra, rb = top(int(classes[a])), top(int(classes[b]))
+                        if ra == rb or (len(left) == len(right) and left[0] == right[0] and a > b):
+                            continue
+                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if 100 * both >= percent * (n[a] + n[b] - both):
+                            root[rb] = ra
+                            out[0].append(int(ids[a]))
+                            out[1].append(int(ids[b]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return rows.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def differing_bits(x: Column, y: Column) -> Column:
@@ -115,54 +197,86 @@ def differing_bits(x: Column, y: Column) -> Column:
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes and odd sketches do not rule the threshold out."""
+    """With column bits, the pairs (a, b) whose set sizes and odd sketches do not rule the threshold out."""
     x, y = (reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing_bits(F.col("s_a"), F.col("s_b")) <= most_differing_bits(percent, BANDS * ROWS, SKETCH_BITS))
-    return pairs.join(x, "a").join(y, "b").filter(near).select("a", "b")
+    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("bits") <= most_differing_bits(percent, BANDS * ROWS, SKETCH_BITS))
+    return pairs.join(x, "a").join(y, "b").withColumn("bits", differing_bits(F.col("s_a"), F.col("s_b"))).filter(near).select(*pairs.columns, "bits")
+
 
+def without(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids of docs whose full shingle sets meet the threshold."""
-    pairs = checkpoint(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpoint(full_sets(docs.join(wanted, "id", "left_semi").select("id", "text"), k))
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets meet the threshold."""
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(x, "a").join(y, "b").filter(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").filter(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+
+
+def mixed_buckets(members: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
+    """(band, id, class, low, high) of the members of buckets that hold several classes; low and high are a member of
+    the least class and one of the greatest, other ones each turn."""
+    with_class = members.withColumn("class", F.col("id")) if classes is None else members.join(classes, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("class"))
+    one = F.struct("class", F.xxhash64("id", F.lit(turn)).alias("order"), "id")
+    ends = with_class.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter(F.col("low.class") < F.col("high.class"))
+    return with_class.join(ends, "band")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row a document: id_col, n_shingles, component_id (the least id reachable over links), kept (it is that one).
 
     Documents are linked whose sets of shingles (words of A-Z lower-cased text) have a Jaccard similarity of percent or
-    more. Null, empty and wordless texts have no shingles and no links. Equal sets become one representative first, so
-    exact copies cost nothing further. In each band bucket every representative is compared with the bucket's least and
-    greatest one; what buckets then still hold more than one class is compared across classes, so no class is split for
-    want of a comparison, and a bucket of one class never yields its pairs. Rows repeating an id are judged each by its
+    more. Null, empty and wordless texts have no shingles and no links. Rows repeating an id are judged each by its
     own text; rows without an id keep a null component_id and kept. Other columns are left out. No rows give no rows.
+
+    Equal sets become one representative first, so exact copies cost nothing further. Then, in rounds, every
+    representative in a band bucket of several classes meets a member of another class in it; the candidates that the
+    sketches show as most alike are confirmed on full sets, and links join classes. Groups of near copies are one class
+    after a few rounds without their pairs having been formed. In whatever groups of documents, tied by buckets, still
+    hold several classes, all finer sketches are compared across classes, in blocks, and what they do not rule out on full
+    sets, so that no link between two classes is missed.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sigs = checkpoint(signatures(docs, shingle))
-    reps = sigs.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("k1", "k2", "n", "x.*")
-    reps = checkpoint(reps)
-
+    reps = checkpoint(sigs.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("k1", "k2", "n", "x.*"))
     entries = reps.select("id", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("many")).filter("many > 1")
-    members = checkpoint(entries.join(buckets, "band"))
-    stars = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("x")).select("x.*").filter("a < b").distinct()
-    links = checkpoint(confirmed(plausible(stars, reps, percent), docs, shingle, percent))
-    classes = checkpoint(connected_components(links))
-
-    crowded = members.filter("many > 2").join(classes, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("class"))
-    mixed = crowded.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x < y").select("band")
-    crowded = checkpoint(crowded.join(mixed, "band", "left_semi"))
-    other = crowded.select("band", F.col("id").alias("b"), F.col("class").alias("class_b"))
-    across = crowded.withColumnRenamed("id", "a").join(other, "band").filter("a < b and class <> class_b").select("a", "b").distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = checkpoint(confirmed(plausible(across, reps, percent), docs, shingle, percent))
+    shared = entries.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1").select("band")
+    members = checkpoint(entries.join(shared, "band").select("band", "id"))
+    wanted = members.select("id").distinct()
+    reps_in = checkpoint(reps.join(wanted, "id", "left_semi").select("id", "n", "sketch"))
+    sets = stored(full_sets(docs.join(wanted, "id", "left_semi").select("id", "text"), shingle))
+
+    links = classes = tested = first = None
+    for turn in range(ROUNDS):
+        pivots = mixed_buckets(members, classes, turn).select("id", "class", F.explode(F.array("low", "high")).alias("p")).filter("class <> p.class")
+        pairs = pivots.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("id").alias("of")).distinct()
+        near = plausible(without(pairs, tested), reps_in, percent).groupBy("of").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "a", "b"))), 1, BEST).alias("x"))
+        near = checkpoint(near.select(F.explode("x").alias("x")).select("x.a", "x.b").distinct())
+        new = checkpoint(confirmed(near, sets, percent))
+        found = new.count()
+        if not found:
+            break
+        tested = near if tested is None else tested.union(near)
+        links = new if links is None else links.union(new)
+        classes = connected_components(links)
+        first = found if turn == 0 else first
+        if found < MIN_GAIN * first:
+            break
+
+    rest = checkpoint(mixed_buckets(members, classes, ROUNDS).select("band", "id", "class"))
+    lowest = rest.groupBy("band").agg(F.min("id").alias("a"))
+    groups = connected_components(rest.join(lowest, "band").select("a", F.col("id").alias("b")).distinct()).select("id", F.col("component_id").alias("group"))
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = rest.select("id", "class").distinct().join(groups, "id").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    placed = placed.withColumn("side", F.explode(sides)).select("group", "side.*", "block", "id", "class").join(sets, "id")
+    more = checkpoint(links_in_blocks(placed, percent, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if not more.isEmpty():
-        classes = connected_components(links.union(more))
+        classes = connected_components(more if links is None else links.union(more))
+    if classes is None:
+        classes = reps.select("id", F.col("id").alias("component_id"))
 
-    of_rep = reps.select("k1", "k2", "n", F.col("id").alias("rep")).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sigs.select("id", "n", "k1", "k2").join(of_rep, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    of_rep = reps.select("k1", "k2", "n", "id").join(classes, "id", "left").select("k1", "k2", "n", F.coalesce("component_id", "id").alias("component_id"))
+    out = sigs.select("id", "n", "k1", "k2").join(of_rep, ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
