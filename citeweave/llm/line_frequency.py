@@ -47,8 +47,8 @@ def repeated_cover(grams: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, digits alike, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), GAP, " "), r"[0-9]+", "0"))
+    """Lower case, white space collapsed."""
+    return F.trim(F.regexp_replace(F.lower(line), GAP, " "))
 
 
 def line_hashes(text: Column) -> Column:
