@@ -1,9 +1,9 @@
 """Quality rules by cross-document line frequency, in DataFrame operations only.
 
 Lines are normalised and hashed; for each host the distinct documents of a line are counted, lines above the host's
-limit are removed, and documents that lose too large a part of their words are rejected. Documents that share their
-smallest three-word shingle are copies of one another more often than not, so they count as one distinct document:
-a text that stands in the corpus a thousand times does not make its own lines boilerplate.
+limit are removed, and documents that lose too large a part of their words are rejected. Documents whose whole
+normalised text is the same are copies and count as one distinct document: a text that stands in the corpus a thousand
+times does not make its own lines boilerplate, however many lines distinct documents share.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from citeweave.llm.common import GAP, NOT_GAP, bind, words
 SYMBOLS = r"[#*$%&|<>]+"
 #: A line is above its host's limit from so many distinct documents on, and from this share of the host's documents.
 MIN_DOCS, MIN_SHARE = 20, 0.005
-#: Of the documents that hold a line, the share that must be distinct ones; copies of one text have less.
-MIN_DISTINCT = 0.25
 #: A document is depleted if removal leaves less than this share of its words.
 MIN_LEFT = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -57,7 +55,7 @@ def line_hashes(text: Column) -> Column:
 
 
 def text_counts(text: Column) -> Column:
-    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, same): what the rules read from one text."""
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words): what the rules read from one text."""
     text = F.coalesce(text, F.lit(""))
     symbols = F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_GAP))
@@ -72,30 +70,30 @@ def text_counts(text: Column) -> Column:
                 symbols.cast("long").alias("n_symbols"),
                 dup_lines.cast("long").alias("n_dup_lines"),
                 repeated_cover(g).cast("long").alias("n_repeat_words"),
-                F.coalesce(F.array_min(g), F.xxhash64(F.array_join(ws, " "))).alias("same"),
             ),
         )
 
     return bind(words(text), counts)
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_distinct: float = MIN_DISTINCT) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, line, n_docs, n_distinct) of the lines above their host's limit.
 
-    docs: host, same, lines (hashes, nulls allowed). Each document counts once for a line. The two aggregations
-    combine on the map side, so a line in a third of all documents sends a row a task and key, not a row a document.
+    docs: host, same (the hash of the whole normalised text), lines (hashes, nulls allowed). Each document counts once
+    for a line. The first aggregation deals the rows of a frequent line out by document, the second combines its counts
+    before they are dealt by line.
     """
     lines = docs.select("host", "same", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line"))
     of_same = lines.groupBy("host", "line", "same").agg(F.count("*").alias("n"))
     of_line = of_same.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_distinct"))
-    of_line = of_line.filter((F.col("n_distinct") >= min_docs) & (F.col("n_distinct") >= min_distinct * F.col("n_docs")))
+    of_line = of_line.filter(F.col("n_distinct") >= min_docs)
     hosts = docs.groupBy("host").agg(F.count("*").alias("n_host"))
     return of_line.join(hosts, "host").filter(F.col("n_distinct") >= min_share * F.col("n_host")).select("host", "line", "n_docs", "n_distinct")
 
 
 def line_frequency_rules(
     docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id", *,
-    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_distinct: float = MIN_DISTINCT, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, with_row: bool = False,
+    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, with_row: bool = False,
 ) -> DataFrame:
     """One row a document of docs (id_col unique): its counts, base_failed, removed_words, depleted, kept, clean_text.
 
@@ -104,14 +102,14 @@ def line_frequency_rules(
     called; with_row adds `row`, a struct of all of them. An empty table gives an empty one.
     """
     docs = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
-    lines = docs.select("id", "host", line_hashes(F.coalesce("text", F.lit(""))).alias("lines"), bind(words(F.col("text")), lambda ws: F.coalesce(F.array_min(three_word_hashes(ws)), F.xxhash64(F.array_join(ws, " ")))).alias("same"))
-    frequent = frequent_lines(lines, min_docs, min_share, min_distinct).select("host", "line")
+    lines = docs.select("id", "host", line_hashes(F.coalesce("text", F.lit(""))).alias("lines"), F.xxhash64(normal_line(F.coalesce("text", F.lit("")))).alias("same"))
+    frequent = frequent_lines(lines, min_docs, min_share).select("host", "line")
 
     each = docs.select("id", "host", F.explode(F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n")))).alias("x"))
     each = each.select("id", "host", "x.*").filter("n > 0")
     lost = each.join(frequent, ["host", "line"]).groupBy("id").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("removed"))
 
-    out = docs.select("id", "text", "row", text_counts(F.col("text")).alias("c")).select("id", "text", "row", "c.*").drop("same").join(lost, "id", "left")
+    out = docs.select("id", "text", "row", text_counts(F.col("text")).alias("c")).select("id", "text", "row", "c.*").join(lost, "id", "left")
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     keep = lambda x: ~F.coalesce(F.array_contains("removed", F.xxhash64(normal_line(x))) & x.rlike(NOT_GAP), F.lit(False))
     out = out.withColumns(

@@ -103,6 +103,17 @@ def test_line_frequency(spark):
     assert all(got[200 + i].kept and got[200 + i].removed_words == 0 for i in range(50))
 
 
+def test_line_frequency_of_mostly_shared_pages(spark):
+    """Pages of 83% template, and a line of distinct pages that copies of one other page outnumber."""
+    template = "\n".join(" ".join(f"t{k}x{j}" for j in range(10)) for k in range(10)) + "\n"
+    rows = [(i, template + " ".join(f"o{i}x{j}" for j in range(20)), "en", "h", None, "", "", "", "") for i in range(200)]
+    own = lambda i: " ".join(f"p{i}x{j}" for j in range(60)) + "\nwritten by the staff\n"
+    rows += [(1000 + i, own(min(i, 30)), "en", "g", None, "", "", "", "") for i in range(300)]
+    got = {r.doc_id: r for r in line_frequency.line_frequency_rules(frame(spark, rows)).collect()}
+    assert all(got[i].removed_words == 100 and got[i].depleted and not got[i].kept for i in range(200))
+    assert all(got[1000 + i].removed_words == 4 and got[1000 + i].kept for i in range(300))
+
+
 def test_base_counts(spark):
     rows = awkward(40)
     got = {r.doc_id: r for r in line_frequency.line_frequency_rules(frame(spark, rows)).collect()}
