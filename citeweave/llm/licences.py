@@ -1,16 +1,13 @@
-"""License scans: phrases, and an exact set-similarity join of text blocks with license templates.
+"""License scans: phrases, and an exact set-similarity join of windows of words with license templates.
 
-The join finds every block whose token set holds the threshold's share of a template's. Template tokens are ordered by
-how many documents of the corpus hold them, rarest first, so that a template's prefix (as many tokens as may be missing,
-and one more) is its rarest part: a block that shares no prefix token cannot qualify. Of the rest, blocks with too few
-tokens (length filter) and those whose first shared token stands too far back in either order (positional filter) go
-before tokens are compared.
+The join finds every window of a document's words whose token set holds the threshold's share of a template's; windows
+run on over line ends, so a wrapped notice is found. Template tokens are ordered by how many documents of the corpus
+hold them, rarest first, so that a template's prefix (as many tokens as may be missing, and one more) is its rarest part:
+a window that holds no prefix token cannot qualify, and only words near one are looked at.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +36,8 @@ TEMPLATES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 THRESHOLD = 0.8
-#: Words in a block of a long line, and from one block's start to the next; twice the longest template and once.
-BLOCK, STRIDE = 64, 32
+#: A window holds so many times a template's words, or within one line BLOCK words. The SQL cuts lines every STRIDE words.
+TIMES, BLOCK, STRIDE = 2, 64, 32
 TEXT_BYTES = 1 << 20
 
 _word_bytes = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 10 if c == 10 else 32 for c in range(256))
@@ -54,43 +51,77 @@ def texts_of(batches):
 
 
 class Join:
-    """The templates in their global order, indexed by prefix token."""
+    """The templates by prefix token."""
 
     def __init__(self, templates: dict[str, str], many: dict[bytes, int], threshold: float):
-        self.sets = [(tuple(sorted(set(t.encode().split()), key=lambda w: (many.get(w, 0), w))), label) for t, label in templates.items()]
-        self.rank = {w: k for k, w in enumerate(sorted({w for s, _ in self.sets for w in s}, key=lambda w: (many.get(w, 0), w)))}
+        self.sets = [(frozenset(t.encode().split()), label) for t, label in templates.items()]
         self.need = [-(-len(s) * round(threshold * 1000) // 1000) for s, _ in self.sets]
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
+        self.width = [TIMES * len(t.split()) for t in templates]
+        self.prefix: dict[bytes, list[int]] = {}
         for k, (s, _) in enumerate(self.sets):
-            for place, w in enumerate(s[: len(s) - self.need[k] + 1]):
-                self.prefix.setdefault(w, []).append((k, place))
-
-    def best(self, block: list[bytes]) -> tuple[float, int] | None:
-        """(containment, template) of the block's best template: most tokens shared, then the larger share, then order."""
-        all_tokens = set(block)
-        tokens = sorted(all_tokens & self.rank.keys(), key=self.rank.__getitem__)
-        seen, found = set(), []
-        for j, w in enumerate(tokens):
-            for k, place in self.prefix.get(w, ()):
-                if k in seen:
-                    continue
-                seen.add(k)
-                s = self.sets[k][0]
-                if len(all_tokens) < self.need[k] or 1 + min(len(s) - place - 1, len(tokens) - j - 1) < self.need[k]:
-                    continue
-                shared = sum(x in all_tokens for x in s)
-                if shared >= self.need[k]:
-                    found.append((shared, shared / len(s), -k))
-        if not found:
-            return None
-        _, share, k = max(found)
-        return share, -k
-
-
-def blocks(words: list[bytes]):
-    """A line's words as one block, or as overlapping ones."""
-    for a in range(0, max(1, len(words) - BLOCK + STRIDE), STRIDE) if len(words) > BLOCK else [0]:
-        yield words[a : a + BLOCK]
+            for w in sorted(s, key=lambda w: (many.get(w, 0), w))[: len(s) - self.need[k] + 1]:
+                self.prefix.setdefault(w, []).append(k)
+
+    def near(self, words: list[bytes]) -> dict[int, list[int]]:
+        """By template, the places of its words within a window's reach of its prefix tokens, where these are enough."""
+        hits: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            for k in self.prefix.get(w, ()):
+                hits.setdefault(k, []).append(i)
+        out = {}
+        for k, at in hits.items():
+            s, reach, places, done = self.sets[k][0], max(BLOCK, self.width[k]), [], 0
+            for h in at:
+                to = min(len(words), h + reach)
+                places += [i for i in range(max(done, h - reach + 1), to) if words[i] in s]
+                done = to
+            if len({words[i] for i in places}) >= self.need[k]:
+                out[k] = places
+        return out
+
+    def spans(self, k: int, words: list[bytes], places: list[int], line_end: list[int]) -> list[tuple[int, int, int]]:
+        """(tokens shared, first, last word) of the template's windows that qualify; of those that overlap the best, shortest."""
+        found = []
+        for j, a in enumerate(places):
+            stop, seen, last = max(a + self.width[k], min(line_end[a], a + BLOCK)), set(), a
+            for j in range(j, len(places)):
+                if places[j] >= stop:
+                    break
+                if words[places[j]] not in seen:
+                    seen.add(words[places[j]])
+                    last = places[j]
+            if len(seen) >= self.need[k]:
+                found.append((-len(seen), last - a, a))
+        out, used = [], set()
+        for shared, more, a in sorted(found):
+            if used.isdisjoint(range(a, a + more + 1)):
+                used.update(range(a, a + more + 1))
+                out.append((-shared, a, a + more))
+        return out
+
+    def matches(self, raw: bytes, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """(line, template, containment) of the best matches, in the text's order: most tokens shared, then the larger
+        share, then the templates' order; others that share a word with a better one are left out."""
+        near = self.near(words)
+        if not near:
+            return []
+        line_of, line_end = [], []
+        for number, line in enumerate(raw.split(b"\n")):
+            n = len(line.split())
+            line_of += [number] * n
+            line_end += [len(line_end) + n] * n
+        found = []
+        for k, places in near.items():
+            s = self.sets[k][0]
+            for shared, a, b in self.spans(k, words, places, line_end):
+                found.append((-shared, -shared / len(s), k, a, frozenset(i for i in range(a, b + 1) if words[i] in s)))
+        kept, by_word = [], {}
+        for _, share, k, a, own in sorted(found, key=lambda x: x[:4]):
+            if not any(i in by_word for i in own):
+                kept.append((a, line_of[a], k, -share))
+                for i in own:
+                    by_word.setdefault(i, []).append(own)
+        return [x[1:] for x in sorted(kept)]
 
 
 def token_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -109,8 +140,8 @@ def token_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, i
 def scan_licences(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row a row of docs: id_col, n_words, places (label, first word of each phrase), base_labels, blocks (line, label, containment), labels, score.
 
-    Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. A block is a line, or 64
-    words of a longer one at a time. score is the best block's containment, 1 for a phrase, 0 without either. Null
+    Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. A block is a window of
+    twice a template's words, over line ends too, or of 64 words within a line; line is that of its first word. score is the best block's containment, 1 for a phrase, 0 without either. Null
     and empty texts have no words and nothing else. Repeated rows stay apart; other columns are left out. No rows give
     no rows.
     """
@@ -119,7 +150,6 @@ def scan_licences(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *
     vocabulary = frozenset(w for t in templates for w in t.encode().split())
     join = Join(templates, token_counts(docs.select(F.lit(0).alias("id"), "text"), vocabulary), threshold)
     needles = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
-    rare = re.compile(rb"(?<![^\s])(?:" + b"|".join(sorted(map(re.escape, join.prefix))) + rb")(?![^\s])") if join.prefix else None
 
     def run(batches):
         columns: list[list] = [[], [], [], [], [], []]
@@ -142,19 +172,7 @@ def scan_licences(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *
                 while at >= 0:
                     places.append({"label": label, "word": line.count(b" ", 0, at)})
                     at = line.find(needle, at + 1)
-            found = []
-            if rare is not None:
-                last = -1
-                for m in rare.finditer(raw):
-                    if m.start() <= last:
-                        continue
-                    begin = raw.rfind(b"\n", 0, m.start()) + 1
-                    last = raw.find(b"\n", m.start())
-                    last = len(raw) if last < 0 else last
-                    number = raw.count(b"\n", 0, begin)
-                    for block in blocks(raw[begin:last].split()):
-                        if (best := join.best(block)) is not None:
-                            found.append({"line": number, "label": join.sets[best[1]][1], "containment": best[0]})
+            found = [{"line": number, "label": join.sets[k][1], "containment": share} for number, k, share in join.matches(raw, words)]
             score = max([b["containment"] for b in found] + [1.0] * bool(places), default=0.0)
             for c, x in zip(columns, (id_, len(words), places, sorted({p["label"] for p in places}), found, score), strict=True):
                 c.append(x)

@@ -166,6 +166,15 @@ def test_licences(spark):
     assert got[4][:3] == (4, 2, "cc-by") and got[5][3] == "" and got[6][2:4] == ("gpl", "gpl,gpl-3.0")
 
 
+def test_wrapped_licences(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
+    mit = " * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation\n * files, to deal in the Software without restriction, including\n"
+    apache = "# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n"
+    rows = [(0, bsd), (1, "some words\n" * 50 + mit + "some words\n" * 50), (2, apache), (3, "licensed\n" + "x " * 30 + "\nunder cc\n" + "x " * 30 + "\nby 4 0")]
+    got = {r.doc_id: (r.labels, r.score, [b.line for b in r.blocks]) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: ("bsd", 1.0, [0]), 1: ("mit", 1.0, [50]), 2: ("apache-2.0", 1.0, [0]), 3: ("", 0.0, [])}
+
+
 def test_language_and_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.lang for r in docs.collect()}
