@@ -100,8 +100,8 @@ class Join:
         return out
 
     def matches(self, raw: bytes, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(line, template, containment) of the best matches, in the text's order: most tokens shared, then the larger
-        share, then the templates' order; others that share a word with a better one are left out."""
+        """(line, template, containment) of all matches, in the text's order. A match is left out only where a better one
+        (most tokens shared, then the larger share, then the templates' order) holds all of its words."""
         near = self.near(words)
         if not near:
             return []
@@ -117,7 +117,7 @@ class Join:
                 found.append((-shared, -shared / len(s), k, a, frozenset(i for i in range(a, b + 1) if words[i] in s)))
         kept, by_word = [], {}
         for _, share, k, a, own in sorted(found, key=lambda x: x[:4]):
-            if not any(i in by_word for i in own):
+            if not any(own <= x for x in by_word.get(a, ())):
                 kept.append((a, line_of[a], k, -share))
                 for i in own:
                     by_word.setdefault(i, []).append(own)

@@ -175,6 +175,13 @@ def test_wrapped_licences(spark):
     assert got == {0: ("bsd", 1.0, [0]), 1: ("mit", 1.0, [50]), 2: ("apache-2.0", 1.0, [0]), 3: ("", 0.0, [])}
 
 
+def test_all_licences_of_a_line(spark):
+    two = "Text is licensed under CC BY-SA 4.0 and this Source Code Form is subject to the terms of the Mozilla Public License"
+    rows = [(0, two), (1, "dual licensed under CC BY-SA 4.0 and CC BY-NC 4.0"), (2, "Licensed under CC BY-NC 4.0"), (3, "Licensed under CC BY 4.0, images licensed under CC BY-SA 4.0")]
+    got = {r.doc_id: sorted(b.label for b in r.blocks) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: ["cc-by-sa-4.0", "mpl"], 1: ["cc-by-nc-4.0", "cc-by-sa-4.0"], 2: ["cc-by-nc-4.0"], 3: ["cc-by-4.0", "cc-by-sa-4.0"]}
+
+
 def test_language_and_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.lang for r in docs.collect()}
