@@ -68,5 +68,20 @@ def test_deficits_are_carried_over_partitions(spark):
     assert served["s0"] == served["s1"]
 
 
+def test_windows_of_sorted_partitions_hold_the_mixture(spark):
+    rows = [(i, "w " * 300, "en", "s0" if i < 40 else "s1" if i < 60 else None, None, "", "", "", "") for i in range(80)]
+    got = pack(frame(spark, rows).repartitionByRange(4, "doc_id"), length=128, window=4).collect()
+    total, window = Counter(), defaultdict(Counter)
+    for p in got:
+        total[p.source] += p.length
+        window[p.sequence_id // 4][p.source] += p.length
+    n = sum(total.values())
+    assert len(window) > 20
+    for k in sorted(window)[:-1]:
+        assert sum(window[k].values()) == 512
+        for s in total:
+            assert abs(window[k][s] - total[s] / n * 512) <= 3
+
+
 def test_no_rows(spark):
     assert pack(frame(spark, [])).collect() == []
