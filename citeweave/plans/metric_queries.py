@@ -124,8 +124,8 @@ def staged(spark, sf_dir):
 
 
 def author_intersections(spark, sf_dir):
-    """Word sets of the documents of a source for surnames by source."""
-    w = docs(spark, sf_dir).select((F.col("doc_id") % 50).alias("g"), "doc_id", F.slice(F.array_distinct(X.word_tokens(F.lower("text"))), 1, 30).alias("names")).filter("doc_id < 150")
+    """Word sets of three documents as one group's surnames by source."""
+    w = docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 3).alias("g"), "doc_id", F.array_distinct(X.word_tokens(F.lower("text"))).alias("names"))
     g = w.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "names"))), lambda x: x["names"]).alias("lists"))
     return g.select("g", K.author_intersection(F.col("lists")).alias("x")).select("g", F.array_join("x.confirmed", " ").alias("confirmed"), F.size("x.suspect").cast("long").alias("n_suspect"), F.col("x.bonus").cast("long").alias("bonus"))
 
