@@ -20,3 +20,13 @@ def folder(spark, tmp_path):
 def test_author_intersections_of_all_documents_and_words(spark, folder):
     got = {r.g: (r.confirmed, r.n_suspect, r.bonus) for r in Q.author_intersections(spark, folder).collect()}
     assert got == {g: (" ".join(sorted(f"shared{g}x{k}" for k in range(20))), 121, 10) for g in range(66)}
+
+
+def test_status_summary_of_all_documents(spark, folder):
+    got = {r.status: r.n for r in Q.status_summary(spark, folder).collect()}
+    assert got == dict(Counter(s[0] for s in T.STATUSES for _ in range(198 // len(T.STATUSES))))
+
+
+def test_statuses_without_a_result_count_nothing(spark):
+    got = {r.status: r.n for r in U.status_summary(spark.createDataFrame([("verified",), ("verified",)], "status string")).collect()}
+    assert got == {s[0]: 2 * (s[0] == "verified") for s in T.STATUSES}
