@@ -139,6 +139,18 @@ def test_templates(spark):
     assert [r.doc_id for r in templates.contaminated(docs, twice).collect()] == [1]
 
 
+def test_templates_of_other_lengths(spark):
+    q = "a train travels 120 km from {} to the north in 3 hours so how fast does it go"
+    long = "the sum of {} apples is taken twice " + " ".join(f"word{k}" for k in range(40)) + " and then {} pears are left over at the end"
+    names = "Then ask Anna Berta Clara how they got to the old mill"
+    items = spark.createDataFrame([(1, q.format("Paris")), (2, long.format(5, 5)), (3, " ".join(f"term{chr(97 + k)}" for k in range(24))), (4, "so ask Anna Berta Clara how they got to it")], "item_id long, text string")
+    w = [f"term{chr(97 + k)}" for k in range(24)]
+    rows = [(1, q.format("New York")), (2, long.format(5, 7)), (3, " ".join([*w[:12], "really", *w[12:]])), (4, "so ask Dora Emma Frida how they got to it"), (5, names)]
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.kind) for r in templates.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {k: v[1] for k, v in got.items()} == {(1, 1): "reparameterised", (2, 2): "reparameterised", (3, 3): "verbatim", (4, 4): "reparameterised"}
+    assert got[3, 3][0] == 6
+
+
 def test_url_rules(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/en/x", "block"), ("org", "/fr/", "allow")]
     urls = [None, "nothing", "http://NET/", "http://x.net", "http://x.net/a?b", "https://example.net/en/1", "https://b.a.example.net/en/x1#y", "https://notexample.net/en/", "http://a.org/fr/", "http://a.org/de/", "http://xnet/", "http://example.net/en/"]
