@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,17 +30,54 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and all work is in this process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+#: Folders of the tables that stored() wrote while a scope was open; None outside of any.
+_scope: list[str] | None = None
+
+
+@contextmanager
+def scope():
+    """Collects the folders of the tables stored meanwhile, for drop() once everything read from them is written."""
+    global _scope
+    before, _scope = _scope, []
+    try:
+        yield _scope
+    finally:
+        _scope = before
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Delete stored tables, and let Spark delete the shuffles that nothing refers to any more."""
+    jvm = spark.sparkContext._jvm
+    for f in folders:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    forget(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Shuffles are deleted when their plans are garbage, which a large driver heap may not find for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table to the shared folder and read again: the lineage is cut, and columns are encoded."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scope is not None:
+        _scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
