@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import GAP, NOT_GAP, bind, words
+from citeweave.llm.common import GAP, NOT_GAP, bind, stored, words
 
 SYMBOLS = r"[#*$%&|<>]+"
 #: A line is above its host's limit from so many distinct documents on, and from this share of the host's documents.
@@ -49,9 +49,11 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), GAP, " "))
 
 
-def line_hashes(text: Column) -> Column:
-    """The hash of each line's normal form; null for a line without a word."""
-    return F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(NOT_GAP), F.xxhash64(normal_line(x))))
+def line_table(text: Column) -> Column:
+    """array of (at, line, n) of a text's lines with a word: place among all lines, hash of the normal form, words."""
+    # a normal form's words are apart by single spaces
+    entry = lambda x, i: F.when(x.rlike(NOT_GAP), bind(normal_line(x), lambda y: F.struct(i.alias("at"), F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n"))))
+    return F.array_compact(F.transform(F.split(text, "\n"), entry))
 
 
 def text_counts(text: Column) -> Column:
@@ -79,11 +81,11 @@ def text_counts(text: Column) -> Column:
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, line, n_docs, n_distinct) of the lines above their host's limit.
 
-    docs: host, same (the hash of the whole normalised text), lines (hashes, nulls allowed). Each document counts once
-    for a line. The first aggregation deals the rows of a frequent line out by document, the second combines its counts
-    before they are dealt by line.
+    docs: host, same (the hash of the whole normalised text), lines (hashes). Each document counts once for a line. The
+    first aggregation deals the rows of a frequent line out by document, the second combines its counts before they are
+    dealt by line.
     """
-    lines = docs.select("host", "same", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line"))
+    lines = docs.select("host", "same", F.explode(F.array_distinct("lines")).alias("line"))
     of_same = lines.groupBy("host", "line", "same").agg(F.count("*").alias("n"))
     of_line = of_same.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_distinct"))
     of_line = of_line.filter(F.col("n_distinct") >= min_docs)
@@ -95,29 +97,35 @@ def line_frequency_rules(
     docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id", *,
     min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, with_row: bool = False,
 ) -> DataFrame:
-    """One row a document of docs (id_col unique): its counts, base_failed, removed_words, depleted, kept, clean_text.
+    """One row a row of docs: id_col, counts, base_failed, removed_words, depleted, kept, clean_text.
 
-    Null and empty texts have no words, so base_failed holds and clean_text is as it came. A null host is a host of
-    its own. Lines of rows that repeat an id are counted together. Other columns of docs are left out, whatever they are
-    called; with_row adds `row`, a struct of all of them. An empty table gives an empty one.
+    Null and empty texts have no words, so base_failed holds and clean_text is as it came. A null host is the host "".
+    Rows repeating an id, and rows without one, are judged each by their own text; wholly equal rows count as so many
+    documents and, as copies, once as distinct. Very long texts are read whole. Other columns of docs are left out,
+    whatever they are called; with_row adds `row`, a struct of all of them. An empty table gives an empty one.
     """
-    docs = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
-    lines = docs.select("id", "host", line_hashes(F.coalesce("text", F.lit(""))).alias("lines"), F.xxhash64(normal_line(F.coalesce("text", F.lit("")))).alias("same"))
-    frequent = frequent_lines(lines, min_docs, min_share).select("host", "line")
-
-    each = docs.select("id", "host", F.explode(F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n")))).alias("x"))
-    each = each.select("id", "host", "x.*").filter("n > 0")
-    lost = each.join(frequent, ["host", "line"]).groupBy("id").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("removed"))
-
-    out = docs.select("id", "text", "row", text_counts(F.col("text")).alias("c")).select("id", "text", "row", "c.*").join(lost, "id", "left")
-    removed = F.coalesce("removed_words", F.lit(0)).cast("long")
-    keep = lambda x: ~F.coalesce(F.array_contains("removed", F.xxhash64(normal_line(x))) & x.rlike(NOT_GAP), F.lit(False))
-    out = out.withColumns(
+    columns = docs.columns
+    others = [c for c in columns if c != text and (with_row or c == id_col)]
+    host_, whole = F.coalesce(F.col(host).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+    # a row is known by two hashes of its id, host and text; equal rows lose the same lines
+    known = [F.xxhash64(id_col, host_, whole).alias("key"), F.xxhash64(whole, F.col(id_col), host_, F.lit(1)).alias("check")]
+    docs = docs.select(F.struct(*others).alias("others"), host_.alias("host"), F.col(text).alias("text"), *known)
+
+    # lines are normalised once; what follows reads their hashes
+    lines = stored(docs.select("key", "check", "host", F.xxhash64(normal_line(F.coalesce("text", F.lit("")))).alias("same"), line_table(F.coalesce("text", F.lit(""))).alias("lines")))
+    frequent = frequent_lines(lines.withColumn("lines", F.col("lines.line")), min_docs, min_share).select("host", "line")
+    each = lines.select("key", "check", "host", F.explode("lines").alias("x")).select("key", "check", "host", "x.*")
+    lost = each.join(frequent, ["host", "line"]).groupBy("key", "check").agg(F.collect_set(F.struct("at", "n")).alias("lost"))
+
+    out = docs.select("others", "text", "key", "check", text_counts(F.col("text")).alias("c")).join(lost, ["key", "check"], "left").select("others", "text", "c.*", "lost")
+    removed = F.coalesce(F.aggregate("lost", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
+    out = out.withColumn("removed_words", removed).withColumns(
         {
             "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
-            "removed_words": removed,
-            "depleted": F.col("n_words") - removed < min_left * F.col("n_words"),
+            "depleted": F.col("n_words") - F.col("removed_words") < min_left * F.col("n_words"),
         }
     )
-    clean = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), keep), "\n"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), clean.alias("clean_text"), *(["row"] if with_row else []))
+    clean = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("lost.at"), i)), "\n"))
+    row = F.struct(*[F.col("text").alias(text) if c == text else F.col("others").getField(c).alias(c) for c in columns]).alias("row") if with_row else None
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "depleted"]
+    return out.select(F.col("others").getField(id_col).alias(id_col), *counts, (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), clean.alias("clean_text"), *([row] if with_row else []))

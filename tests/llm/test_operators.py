@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from citeweave.llm.hashing import word_hashes
 from citeweave.llm import language, licences, line_frequency, near_dedup, repeated_phrases, templates, toxicity, url_rules
 from tests.llm.fixtures import awkward, frame
 
@@ -73,10 +74,14 @@ def test_the_rest_is_compared_across_classes(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == components(sets)
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("hows", [[{}], [{"shard_places": 3}], [{"shard_places": 40}]])
+def test_repeats(spark, hows, monkeypatch):
+    if hows[0].get("shard_places") == 3:
+        monkeypatch.setattr(repeated_phrases, "HOT_PART", 0)
     passage = " ".join(f"p{k}" for k in range(60))
     rows = awkward(20)
     rows += [(500, "a b " + passage + " c d", "en", "s", None, "", "", "", ""), (501, "x " + passage.replace(" ", "\n", 9), "en", "s", None, "", "", "", ""), (502, "e " + " ".join(passage.split()[5:45]) + " f", "en", "s", None, "", "", "", "")]
+    rows += [(None, "n " + passage, "en", None, None, "", "", "", "")] + [(600 + i, f"o{i} " + passage + f" u{i}", "en", "s", 1, "", "", "", "") for i in range(20)]
     rows += [(503, ("again and again " * 30), "en", "s", None, "", "", "", ""), (500, rows[12][1], "en", "s", None, "", "", "", "")]
     where = Counter()
     for r in rows:
@@ -89,8 +94,22 @@ def test_repeats(spark):
             if where[tuple(w[i : i + 35])] > 1:
                 gone |= set(range(i, i + 35))
         want.append((r[0], len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
-    got = repeated_phrases.remove_repeats(frame(spark, rows).repartition(3)).collect()
-    assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got) == sorted(want)
+    key = lambda x: (x[0] is None, *map(str, x))
+    for how in hows:
+        got = repeated_phrases.remove_repeats(frame(spark, rows).repartition(3), with_row=True, **how).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=key) == sorted(want, key=key)
+        assert sorted((tuple(r.row) for r in got), key=key) == sorted(rows, key=key)
+
+
+def test_repeats_need_the_automata(spark, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"a{i} {passage} b{i}", "en", "s", None, "", "", "", "") for i in range(3)]
+    assert {r.n_removed for r in repeated_phrases.remove_repeats(frame(spark, rows)).collect()} == {60}
+    hashes, first, *_ = word_hashes([b"a b c " * 20, b"", b"x y " * 40])
+    assert list(first) == [0, 60, 60, 140] and repeated_phrases.whole_windows(first, 35).sum() == 26 + 46
+    assert repeated_phrases.compiled([]) is None
+    found = [end for end, _ in repeated_phrases.compiled([b"b c", b"c b"]).iter(" a b c b c ")]
+    assert found == [6, 8, 10]
 
 
 def test_line_frequency(spark):
