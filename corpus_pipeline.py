@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import shared_folder, table
+from citeweave.llm.common import drop, scope, shared_folder, table
 from citeweave.llm.line_frequency import line_frequency_rules
 from citeweave.llm.near_dedup import near_duplicates
 from citeweave.llm.packing import pack
@@ -17,35 +18,70 @@ from citeweave.llm.templates import contaminated
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Tables that the operators of the stage before stored; its result is written by the time the next stage is called.
+_left: list[str] = []
+
+
+def stage(f):
+    """A stage that first deletes what the operators of the stages before it stored and shuffled."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _left)
+        _left.clear()
+        with scope() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
 def with_text(rows: DataFrame, text) -> DataFrame:
     """The documents of column `row` with another text."""
     return rows.select("row.*", text.alias("new")).withColumns({"text": F.col("new"), "n_chars": F.length("new").cast("long")}).select(COLUMNS)
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that are frequent in their host."""
+    """Documents that pass the rules, without the lines that are frequent in their host.
+
+    Null and empty texts fail and go; rows repeating an id are judged each by its own text. Columns that documents do not
+    have are left out; no rows give no rows, here and in the stages below.
+    """
     return with_text(line_frequency_rules(docs, with_row=True).filter("kept"), F.col("clean_text"))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; documents without an id stay."""
-    return docs.join(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group of near-duplicates: of the rows of its least id one, those of equal texts being equal.
+
+    Rows without an id and those without a word have no group and stay, as does a row whose id stands in a group and
+    outside of it with another text.
+    """
+    found = near_duplicates(docs)
+    return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that stand elsewhere too; one that loses none keeps its text as it is."""
+    """Every row without the passages that stand elsewhere too; one that loses none keeps its text as it is, null and
+    empty ones among them. Rows that repeat a text lose it all, whatever their ids, if it is as long as a passage."""
     out = remove_repeats(docs, with_row=True)
     return with_text(out, F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept_text")))
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, neither word for word nor with other numbers or names."""
+    """Documents that hold no benchmark item, neither word for word nor with other numbers or names. Of a repeated id all
+    rows go if one of them holds an item; rows without an id or a text stay."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences with their token ids."""
+    """Pieces of sequences with their token ids; every row is packed, an empty or null text as its end id alone."""
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
