@@ -48,10 +48,12 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def text_batches(batches, columns: tuple[str, ...]):
-    """Lists of (id, lower-cased bytes) of about CHUNK bytes; null text is empty."""
-    rows = ((b[columns[0]][i].as_py(), b[columns[1]][i]) for b in batches for i in range(b.num_rows))
-    for held in in_batches(rows, lambda r: 64 + (r[1].as_buffer().size if r[1].is_valid else 0), CHUNK):
-        yield [r[0] for r in held], [r[1].as_buffer().to_pybytes().lower() if r[1].is_valid else b"" for r in held]
+    """Lists of each column's values for texts of about CHUNK bytes, the last as lower-cased bytes; null text is empty."""
+    *heads, last = columns
+    rows = ((*(b[c][i].as_py() for c in heads), b[last][i]) for b in batches for i in range(b.num_rows))
+    for held in in_batches(rows, lambda r: 64 + (r[-1].as_buffer().size if r[-1].is_valid else 0), CHUNK):
+        *values, texts = zip(*held, strict=True)
+        yield *values, [t.as_buffer().to_pybytes().lower() if t.is_valid else b"" for t in texts]
 
 
 class MinHash:
@@ -94,21 +96,22 @@ def most_differing_bits(percent: int, samples: int, bits: int, slack: float = SL
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, k1, k2, bands, sketch) of docs (id, text): set size, two checks of the whole set, band keys, odd sketch."""
+    """(id, key, n, k1, k2, bands, sketch) of docs (id, key, text): set size, two checks of the whole set, band keys, odd
+    sketch."""
 
     def run(batches):
         m = MinHash()
-        for ids, texts in text_batches(batches, ("id", "text")):
+        for ids, keys, texts in text_batches(batches, ("id", "key", "text")):
             sets = shingle_sets(texts, k)
             found = [m.samples(s) if len(s) else None for s in sets]
             k1 = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             k2 = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([m.keys(f) if f is not None else [] for f in found], pa.list_(pa.int64())), pa.array([m.sketch(f) if f is not None else [] for f in found], pa.list_(pa.int64()))],
-                ["id", "n", "k1", "k2", "bands", "sketch"],
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([m.keys(f) if f is not None else [] for f in found], pa.list_(pa.int64())), pa.array([m.sketch(f) if f is not None else [] for f in found], pa.list_(pa.int64()))],
+                ["id", "key", "n", "k1", "k2", "bands", "sketch"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "id long, key long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -145,7 +148,8 @@ def runs_of(batches, keys: list[str]):
 
 
 def links_in_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links (a, b) between different classes of a group, of rows (group, i, j, block, id, class, shingles, fine).
+    """Links (a, b) between different classes of a group, of rows (kind, group, i, j, left, right, id, class, main,
+    shingles, fine): every left row is compared with every right one, of two that are not of the main class once.
 
     A pair of blocks (i, j) holds BLOCK rows a side at most, so the work of a large group is spread over tasks. All finer
     sketches are compared, what they do not rule out is confirmed on full sets, and only links leave the task; pairs of
@@ -154,14 +158,15 @@ def links_in_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     limit = most_differing_bits(percent, FINE_SAMPLES, FINE_BITS)
 
     def run(batches):
-        for t in runs_of(batches, ["group", "i", "j"]):
-            ids, classes, block = (t[c].to_numpy() for c in ("id", "class", "block"))
+        for t in runs_of(batches, ["kind", "group", "i", "j"]):
+            ids, classes = (t[c].to_numpy() for c in ("id", "class"))
             if len(ids) < 2 or (classes == classes[0]).all():
                 continue
+            main, left, right = (np.array(t[c].to_pylist(), bool) for c in ("main", "left", "right"))
+            left, right = np.flatnonzero(left), np.flatnonzero(right)
             sets = [np.asarray(x.values) for x in t["shingles"]]
             n = np.array([len(x) for x in sets])
             fine = np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint64).reshape(len(ids), -1)
-            left, right = np.flatnonzero(block == t["i"][0].as_py()), np.flatnonzero(block == t["j"][0].as_py())
             root = {c: c for c in classes.tolist()}
 
             def top(c: int, root: dict[int, int] = root) -> int:
@@ -173,6 +178,7 @@ def links_in_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
             for k in range(0, len(left), 64):
                 x = left[k : k + 64]
                 ok = (classes[x][:, None] != classes[right][None, :]) & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :]))
+                ok &= main[right][None, :] | (ids[x][:, None] < ids[right][None, :])
                 p, q = np.nonzero(ok)
                 p, q = x[p], right[q]
                 for c in range(0, len(p), 1 << 14):
@@ -180,7 +186,7 @@ def links_in_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
                     near = np.bitwise_count(fine[u] ^ fine[v]).sum(axis=1) <= limit
                     for a, b in zip(u[near].tolist(), v[near].tolist(), strict=True):
                         ra, rb = top(int(classes[a])), top(int(classes[b]))
-                        if ra == rb or (len(left) == len(right) and left[0] == right[0] and a > b):
+                        if ra == rb:
                             continue
                         both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                         if 100 * both >= percent * (n[a] + n[b] - both):
@@ -189,7 +195,40 @@ def links_in_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
                             out[1].append(int(ids[b]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    return rows.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
+    keys = ["kind", "group", "i", "j"]
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def in_blocks(rest: DataFrame) -> DataFrame:
+    """(kind, group, i, j, left, right, id, class, main) of mixed buckets (band, id, class): what is to be compared.
+
+    Buckets tied by members are one group (kind 0) where they have BLOCK members or fewer. Larger ones are compared
+    bucket by bucket (kind 1), of buckets with the same members one: there the members outside of the bucket's largest
+    class, in blocks, meet all of its members, in blocks, so a set is copied once for each block of the others.
+    """
+    lowest = rest.groupBy("band").agg(F.min("id").alias("a"))
+    groups = connected_components(rest.join(lowest, "band").select("a", F.col("id").alias("b")).distinct()).select("id", F.col("component_id").alias("group"))
+    small = groups.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") <= BLOCK).select("group")
+    of_small = checkpoint(groups.join(small, "group"))
+    yes, zero = F.lit(True), F.lit(0)
+    whole = rest.select("id", "class").distinct().join(of_small, "id").select(zero.alias("kind"), "group", zero.alias("i"), zero.alias("j"), yes.alias("left"), yes.alias("right"), "id", "class", F.lit(False).alias("main"))
+
+    large = checkpoint(rest.join(of_small.select("id"), "id", "left_anti"))
+    same = large.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one = same.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
+    sizes = large.groupBy("band", "class").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("size", "class")).alias("top")).select("band", "top.*").withColumnRenamed("class", "of")
+    both = large.join(one, "band").join(largest, "band").withColumn("main", F.col("class") == F.col("of"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    both = both.withColumns({"others": blocks(F.col("n") - F.col("size")), "every": blocks(F.col("n"))})
+    at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    both = both.withColumns({"mine": at(F.col("others"), 1), "place": at(F.col("every"), 2)})
+    to = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    as_right = F.transform(count(F.col("others")), lambda i: to(i, F.col("place"), False, True))
+    as_left = F.when(F.col("main"), F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>")).otherwise(F.transform(count(F.col("every")), lambda j: to(F.col("mine"), j, True, False)))
+    by_bucket = both.withColumn("to", F.explode(F.concat(as_right, as_left))).select(F.lit(1).alias("kind"), F.col("band").alias("group"), "to.*", "id", "class", "main")
+    return whole.unionByName(by_bucket)
 
 
 def differing_bits(x: Column, y: Column) -> Column:
@@ -223,29 +262,33 @@ def mixed_buckets(members: DataFrame, classes: DataFrame | None, turn: int) -> D
     return with_class.join(ends, "band")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row a document: id_col, n_shingles, component_id (the least id reachable over links), kept (it is that one).
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *, shingle: int = SHINGLE, percent: int = PERCENT, with_key: bool = False) -> DataFrame:
+    """One row a row of docs: id_col, n_shingles, component_id (the least id reachable over links), kept (it is that one).
 
     Documents are linked whose sets of shingles (words of A-Z lower-cased text) have a Jaccard similarity of percent or
     more. Null, empty and wordless texts have no shingles and no links. Rows repeating an id are judged each by its
-    own text; rows without an id keep a null component_id and kept. Other columns are left out. No rows give no rows.
+    own text; rows without an id keep a null component_id and kept. Other columns are left out; with_key adds `key`,
+    xxhash64 of the text (null: empty), which tells rows of one id apart. No rows give no rows.
 
     Equal sets become one representative first, so exact copies cost nothing further. Then, in rounds, every
     representative in a band bucket of several classes meets a member of another class in it; the candidates that the
     sketches show as most alike are confirmed on full sets, and links join classes. Groups of near copies are one class
-    after a few rounds without their pairs having been formed. In whatever groups of documents, tied by buckets, still
-    hold several classes, all finer sketches are compared across classes, in blocks, and what they do not rule out on full
-    sets, so that no link between two classes is missed.
+    after a few rounds without their pairs having been formed. In whatever buckets still hold several classes, all finer
+    sketches are compared across classes, in blocks, and what they do not rule out on full sets, so that no link between
+    two classes is missed.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sigs = checkpoint(signatures(docs, shingle))
-    reps = checkpoint(sigs.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("k1", "k2", "n", "x.*"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
+    sigs = stored(signatures(docs, shingle))
+    # a representative has a number of its own: ids may repeat
+    reps = sigs.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "key", "sketch", "bands")).alias("x"))
+    reps = stored(reps.select("k1", "k2", "n", F.col("x.id").alias("doc"), "x.key", "x.sketch", "x.bands", F.monotonically_increasing_id().alias("id")))
     entries = reps.select("id", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1").select("band")
-    members = checkpoint(entries.join(shared, "band").select("band", "id"))
+    members = stored(entries.join(shared, "band").select("band", "id"))
     wanted = members.select("id").distinct()
-    reps_in = checkpoint(reps.join(wanted, "id", "left_semi").select("id", "n", "sketch"))
-    sets = stored(full_sets(docs.join(wanted, "id", "left_semi").select("id", "text"), shingle))
+    reps_in = checkpoint(reps.join(wanted, "id", "left_semi").select("id", "n", "sketch", "doc", "key"))
+    texts = docs.join(reps_in.select(F.col("id").alias("rep"), F.col("doc").alias("id"), "key"), ["id", "key"]).select(F.col("rep").alias("id"), "text")
+    sets = stored(full_sets(texts, shingle))
 
     links = classes = tested = first = None
     for turn in range(ROUNDS):
@@ -265,18 +308,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             break
 
     rest = checkpoint(mixed_buckets(members, classes, ROUNDS).select("band", "id", "class"))
-    lowest = rest.groupBy("band").agg(F.min("id").alias("a"))
-    groups = connected_components(rest.join(lowest, "band").select("a", F.col("id").alias("b")).distinct()).select("id", F.col("component_id").alias("group"))
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = rest.select("id", "class").distinct().join(groups, "id").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
-    placed = placed.withColumn("side", F.explode(sides)).select("group", "side.*", "block", "id", "class").join(sets, "id")
+    placed = in_blocks(rest).join(sets, "id")
     more = checkpoint(links_in_blocks(placed, percent, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if not more.isEmpty():
         classes = connected_components(more if links is None else links.union(more))
     if classes is None:
         classes = reps.select("id", F.col("id").alias("component_id"))
 
-    of_rep = reps.select("k1", "k2", "n", "id").join(classes, "id", "left").select("k1", "k2", "n", F.coalesce("component_id", "id").alias("component_id"))
-    out = sigs.select("id", "n", "k1", "k2").join(of_rep, ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    linked = classes.join(reps.select("id", "doc"), "id")
+    linked = linked.join(linked.groupBy("component_id").agg(F.min("doc").alias("least")), "component_id").select("id", "least")
+    of_rep = reps.join(linked, "id", "left").select("k1", "k2", "n", F.coalesce("least", "doc").alias("component_id"))
+    out = sigs.select("id", "key", "n", "k1", "k2").join(of_rep, ["k1", "k2", "n"], "left").select("id", "key", "n", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"), *(["key"] if with_key else []))

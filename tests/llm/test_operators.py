@@ -6,8 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from citeweave.llm.hashing import word_hashes
 from citeweave.llm import language, licences, line_frequency, near_dedup, repeated_phrases, templates, toxicity, url_rules
+from citeweave.llm.hashing import word_hashes
 from tests.llm.fixtures import awkward, frame
 
 
@@ -66,8 +66,10 @@ def test_near_duplicates(spark, shingle):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
-def test_the_rest_is_compared_across_classes(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_the_rest_is_compared_across_classes(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = near_copies(40)
     sets = {r[0]: set(zip(w, w[1:])) if len(w := words(lower(r[1]))) > 1 else ({tuple(w)} if w else set()) for r in rows}
     got = near_dedup.near_duplicates(frame(spark, rows), shingle=2).collect()
@@ -101,6 +103,17 @@ def test_repeats(spark, hows, monkeypatch):
         assert sorted((tuple(r.row) for r in got), key=key) == sorted(rows, key=key)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Id 5 is once a copy of 1 and once one of 3: neither puts 3 and 1 together."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (1, a + " end"), (3, b + " end"), (7, a), (7, a), (None, a), (9, None), (9, "")]
+    rows = [(i, t, "en", "s", None, "", "", "", "") for i, t in rows]
+    got = near_dedup.near_duplicates(frame(spark, rows), with_key=True).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(1, 1, True), (3, 3, True), (5, 1, False), (5, 3, False), (7, 1, False), (7, 1, False), (9, 9, True), (9, 9, True)]
+    assert [(r.component_id, r.kept, r.n_shingles) for r in got if r.doc_id is None] == [(None, None, 36)]
+    assert near_dedup.near_duplicates(frame(spark, [])).collect() == []
+
+
 def test_repeats_need_the_automata(spark, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(i, f"a{i} {passage} b{i}", "en", "s", None, "", "", "", "") for i in range(3)]
