@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import drop, scope, shared_folder, table
@@ -54,13 +54,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: of the rows of its least id one, those of equal texts being equal.
+    """Of each group of near-duplicates the document of least id.
 
-    Rows without an id and those without a word have no group and stay, as does a row whose id stands in a group and
-    outside of it with another text.
+    Rows without an id and those without a word have no group and stay. Rows repeating an id are judged each by its own
+    text; of those with one id and text one stays.
     """
-    found = near_duplicates(docs)
-    return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    gone = near_duplicates(docs, with_key=True).filter("not kept").select("doc_id", "key").distinct()
+    rows = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, ["doc_id", "key"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("lang", "source", "n_chars"))
+    return rows.withColumn("nth", nth).filter("nth = 1 or doc_id is null").select(COLUMNS)
 
 
 @stage
