@@ -67,18 +67,31 @@ def drop(spark: SparkSession, folders: list[str]) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Shuffles are deleted when their plans are garbage, which a large driver heap may not find for hours."""
+    """Shuffles are deleted when their plans are garbage, which a large driver heap may not find for hours. The last
+    execution stays known to Spark, so one without shuffles comes first."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+#: Spark deletes an execution's shuffles at its end where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as a table to the shared folder and read again: the lineage is cut, and columns are encoded."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df written as a table to the shared folder and read again: the lineage is cut, and columns are encoded. The
+    shuffles that made it go when it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if _scope is not None:
         _scope.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
