@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMMENT = r"(?md)(^|[^\\\n])%.*$"
-CITE = r"\\((?:no)?cite[tp]?|[Pp]arencite|[Tt]extcite|[Aa]utocite)\*?(?:\s*\[[^\]]*\])*\s*\{([^}]+)\}"
+# Commands that cite, in lower case; those of the second list may begin with a capital.
+CITING, CAPITAL_CITING = ["cite", "citep", "citet", "nocite", "nocitep", "nocitet"], ["parencite", "textcite", "autocite"]
+_names = "|".join([*CITING, *CAPITAL_CITING, *(c.capitalize() for c in CAPITAL_CITING)])
+#: A command, a star, options in brackets, and the keys in braces.
+CITE = rf"\\(?:{_names})[*]?(?:\s*\[[^\]]*\])*\s*\{{([^{{}}]+)\}}"
 
 
 def strip_comments(text: Column) -> Column:
@@ -16,7 +20,7 @@ def strip_comments(text: Column) -> Column:
 
 def cited_keys(text: Column) -> Column:
     """Distinct keys of the citation commands in a text, comments left out, in order of first occurrence."""
-    groups = F.regexp_extract_all(strip_comments(F.coalesce(text, F.lit(""))), F.lit(CITE), 2)
+    groups = F.regexp_extract_all(strip_comments(F.coalesce(text, F.lit(""))), F.lit(CITE), 1)
     return F.array_distinct(F.array_remove(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda x: F.trim(x)), ""))
 
 

@@ -21,12 +21,12 @@ from citeweave.plans.synthetic import DUCK, spark_entries
 _doi = r"CASE WHEN doi <> '' THEN lower(regexp_replace(trim(doi), '^(?i)https?://(dx\.)?doi\.org/', '')) END"
 _key = "trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace({0}, 'ß', 'ss'), 'ẞ', 'SS'))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 #: An arXiv id in a text: of an arxiv.org address first, else the first valid one.
-_pattern = r"(?i)(?:arxiv:)?((?:[0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?|(?:[a-z\-]+(?:\.[A-Z]{2})?/[0-9]{7})(?:v[0-9]+)?)"
+_pattern = I.ARXIV
 _valid = r"(x <> '' AND (NOT regexp_matches(x, '^[0-9]{4}\.[0-9]{4,5}$') OR x[3:4] BETWEEN '01' AND '12'))"
 
 
 def _arxiv(c: str) -> str:
-    url = rf"regexp_replace(regexp_extract(regexp_extract(coalesce({c}, ''), '(?i)https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/([^\s?#]+)', 1), '{_pattern}', 1), 'v[0-9]+$', '')"
+    url = rf"regexp_replace(regexp_extract(regexp_extract(coalesce({c}, ''), '{I.ARXIV_URL}', 1), '{_pattern}', 1), 'v[0-9]+$', '')"
     return rf"coalesce(list_filter([{url}], lambda x: {_valid})[1], list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), '{_pattern}', 1), lambda x: regexp_replace(x, 'v[0-9]+$', '')), lambda x: {_valid})[1])"
 
 
@@ -42,9 +42,9 @@ def bib(spark, sf_dir):
     return spark.sql("SELECT concat(CASE WHEN p_partkey % 2 = 0 THEN 'K' ELSE 'k' END, p_partkey % 150) AS key, concat('b', p_partkey % 3, '.bib') AS file, p_partkey AS ord FROM _part")
 
 
-_tex = r"""t AS (SELECT 'f' || (doc_id % 20) || '.tex' AS file, 'A \citep[see][p. 3]{K' || (doc_id % 97) || ', k' || (doc_id % 13) || '} 50\% % \cite{hidden}' || chr(10) || '\Textcite*{K' || (doc_id % 301) || '} \footcite{no}' AS text FROM documents),
+_tex = rf"""t AS (SELECT 'f' || (doc_id % 20) || '.tex' AS file, 'A \citep[see][p. 3]{{K' || (doc_id % 97) || ', k' || (doc_id % 13) || '}} 50\% % \cite{{hidden}}' || chr(10) || '\Textcite*{{K' || (doc_id % 301) || '}} \footcite{{no}}' AS text FROM documents),
 c0 AS (SELECT file, regexp_replace(text, '(?m)(^|[^\\\n])%.*$', '\1', 'g') AS text FROM t),
-c1 AS (SELECT file, unnest(regexp_extract_all(text, '\\((?:no)?cite[tp]?|[Pp]arencite|[Tt]extcite|[Aa]utocite)\*?(?:\s*\[[^\]]*\])*\s*\{([^}]+)\}', 2)) AS g FROM c0),
+c1 AS (SELECT file, unnest(regexp_extract_all(text, '{C.CITE}', 1)) AS g FROM c0),
 c AS (SELECT file, trim(k) AS key FROM (SELECT file, unnest(string_split(g, ',')) AS k FROM c1) WHERE trim(k) <> ''),
 b AS (SELECT (CASE WHEN p_partkey % 2 = 0 THEN 'K' ELSE 'k' END) || (p_partkey % 150) AS key, 'b' || (p_partkey % 3) || '.bib' AS file, p_partkey AS ord FROM part)"""
 

@@ -219,7 +219,7 @@ _names = ["status_summary", "bucket_rates", "confidences", "numeric_confidence",
 QUERIES = {n: globals()[n] for n in _names}
 _key = "trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(array_to_string((list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))[1:8], ' '), 'ß', 'ss'), 'ẞ', 'SS'))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 ORACLE = {
-    "status_summary": f"WITH {_res} SELECT dim.status, bucket, count(doc_id) AS n FROM dim LEFT JOIN (SELECT * FROM res WHERE doc_id % 33 < 20) r ON r.status = dim.status GROUP BY 1, 2",
+    "status_summary": f"WITH {_res} SELECT dim.status, bucket, count(doc_id) AS n FROM dim LEFT JOIN res r ON r.status = dim.status GROUP BY 1, 2",
     "bucket_rates": f"WITH {_res}, c AS (SELECT count(*) AS total, count(*) FILTER (bucket = 'verified') AS verified, count(*) FILTER (bucket = 'problematic') AS problematic, count(*) FILTER (bucket = 'abstained') AS abstained FROM res JOIN dim USING (status)) SELECT *, round(verified / total, 9) AS verified_rate, round(problematic / total, 9) AS problematic_rate, round(abstained / total, 9) AS abstained_rate FROM c",
     "confidences": f"""WITH {_res}, b AS (SELECT *, CASE WHEN status IN {tuple(T.ABSTAIN)} THEN CASE WHEN score > 0.5 THEN base * 0.5 ELSE base END WHEN status = 'verified' THEN 0.7 * score + 0.3 * base
         WHEN status = 'hallucinated' THEN 0.7 * (1 - score) + 0.3 * base WHEN status IN {tuple(T.FIELD_SCORED)} AND score > 0.8 THEN base * 0.8 ELSE base END AS s,
@@ -238,8 +238,7 @@ ORACLE = {
     "stopped": f"WITH {_cand}, s AS (SELECT *, min(source_rank) FILTER (full_) OVER (PARTITION BY doc_id) AS stop FROM cand) SELECT doc_id, source_rank FROM s WHERE stop IS NULL OR source_rank <= stop",
     "top_two": f"WITH {_cand} SELECT doc_id, i AS ingest_ord, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank FROM cand QUALIFY rank <= 2",
     "staged": f"WITH {_cand} SELECT doc_id AS entry_id, i AS record_id, i % 2 AS stage_rank FROM cand WHERE i % 3 <> doc_id % 4 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i % 2, score DESC, (n_confirmed > 1)::INT DESC, i) = 1",
-    "author_intersections": r"""WITH w AS (SELECT doc_id % 50 AS g, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS s, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS a FROM documents WHERE doc_id < 150),
-        f AS (SELECT g, doc_id, list_filter(a, lambda x, i: list_position(a, x) = i)[1:30] AS names FROM w), e AS (SELECT DISTINCT g, doc_id, unnest(names) AS x FROM f), n AS (SELECT g, count(*) AS n FROM f GROUP BY 1),
+    "author_intersections": r"""WITH f AS (SELECT floor(doc_id / 3)::BIGINT AS g, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS names FROM documents), e AS (SELECT DISTINCT g, doc_id, unnest(names) AS x FROM f), n AS (SELECT g, count(*) AS n FROM f GROUP BY 1),
         c AS (SELECT g, x, count(*) AS k FROM e GROUP BY 1, 2), o AS (SELECT c.g, count(*) FILTER (k = n) AS nc, string_agg(x, ' ' ORDER BY x) FILTER (k = n) AS confirmed, count(*) FILTER (k < n) AS ns, any_value(n) AS n FROM c JOIN n ON n.g = c.g GROUP BY 1)
         SELECT n.g, CASE WHEN n.n >= 2 THEN coalesce(confirmed, '') ELSE '' END AS confirmed, CASE WHEN n.n >= 2 THEN ns ELSE 0 END AS n_suspect, CASE WHEN n.n >= 2 AND nc >= 2 THEN 10 ELSE 0 END AS bonus FROM n JOIN o ON o.g = n.g""",
     "venue_groups": """WITH RECURSIVE x AS (SELECT doc_id, k, unnest([(doc_id % (k + 2))::VARCHAR, ((doc_id + k) % 5 + 10)::VARCHAR]) AS v FROM documents, (SELECT unnest([0, 1, 2, 3]) AS k)),
