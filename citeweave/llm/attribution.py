@@ -3,7 +3,8 @@
 Tokens of a byte-level tokenizer, end to end, are the text's bytes, so the ids' byte lengths give every token's place.
 These spans and the sections' are merged in order, as both are sorted and neither overlaps itself. A token that lies in
 one section counts there. One over a boundary counts, by the rule chosen, for the section with most of its bytes (the
-earlier of equals), its first byte's or its last's. Bytes outside of all sections are section null, and count like any
+earlier of equals), its first byte's or its last's. For tokenizers that are not byte-level the library's own character
+offsets take the place of bytes. Bytes outside of all sections are section null, and count like any
 other section's, so that a document's counts always sum to its tokens.
 """
 
@@ -87,19 +88,24 @@ def attribute_tokens(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches):
-        enc, size = encoder(path), token_bytes(path)
+        enc = encoder(path)
+        size = token_bytes(path) if enc.byte_level else None
         rows = ((b["id"][i].as_py(), b["text"][i]) for b in batches for i in range(b.num_rows))
         names = ["id", "section", "kind", "start", "stop", "n_tokens", "n_crossing", "doc_tokens"]
         types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5]
         for held in in_batches(rows, lambda r: 100 + (r[1].as_buffer().size if r[1].is_valid else 0), TEXT_BYTES):
             texts = [r[1].as_py() or "" for r in held]
             out: list[list] = [[] for _ in names]
-            for (id_, _), t, ids in zip(held, texts, enc.encode(texts), strict=True):
-                ends = np.cumsum(size[np.frombuffer(ids, f"<u{enc.width}")])
+            for (id_, _), t, got in zip(held, texts, enc.encode(texts) if enc.byte_level else enc.ends(texts), strict=True):
                 found = sections(t)
-                raw = np.frombuffer(t.encode(), np.uint8)
-                byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-                starts, stops = (byte[np.array([s[k] for s in found], np.int64)] for k in (1, 2))
+                starts, stops = (np.array([s[k] for s in found], np.int64) for k in (1, 2))
+                if enc.byte_level:
+                    ends = np.cumsum(size[np.frombuffer(got, f"<u{enc.width}")])
+                    raw = np.frombuffer(t.encode(), np.uint8)
+                    byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+                    starts, stops = byte[starts], byte[stops]
+                else:
+                    ends = np.array(got, np.int64)
                 where, crossing = allocate(ends, starts, stops, rule)
                 n = np.bincount(where + 1, minlength=len(found) + 1).tolist()
                 c = np.bincount(where[crossing] + 1, minlength=len(found) + 1).tolist()

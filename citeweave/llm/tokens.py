@@ -7,9 +7,11 @@ library; the ids of all pieces seen are kept as bytes, up to a bound.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import accumulate
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces kept in a worker, about 130 bytes each; beyond it all are forgotten and learned anew.
@@ -25,8 +27,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def is_byte_level(form: dict) -> bool:
+    """Whether a tokenizer's description (its JSON) says that tokens, end to end, are the text's bytes."""
+    pre = form.get("pre_tokenizer") or {}
+    return form.get("normalizer") is None and form.get("post_processor") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and form["model"].get("type") == "BPE" and not form["model"].get("end_of_word_suffix")
+
+
 class Encoder:
-    """encode(texts): the ids of each text as little-endian unsigned 16-bit numbers, 32-bit ones for larger vocabularies."""
+    """encode(texts): the ids of each text as little-endian unsigned 16-bit numbers, 32-bit ones for larger vocabularies.
+
+    Texts are cut at spaces only if the tokenizer's own description says that it is byte-level with the usual
+    pre-tokenization; others encode whole texts.
+    """
 
     def __init__(self, path: str, max_kept: int = MAX_KEPT):
         import os
@@ -35,6 +47,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        self.byte_level = is_byte_level(form)
+        self.cuts = self.byte_level and bool(form["pre_tokenizer"].get("use_regex"))
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
@@ -65,7 +80,13 @@ class Encoder:
         for p, word, tail in split:
             known[p] = known[word] + self.tails[tail]
 
+    def ends(self, texts: list[str]) -> list[list[int]]:
+        """For a tokenizer of another kind, the character behind each token; what it drops goes with the token after it."""
+        return [list(accumulate((b for _, b in e.offsets), max)) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self.exact(texts)
         if len(self.after_space) > self.max_kept:
             self.after_space.clear()
             self.tails.clear()

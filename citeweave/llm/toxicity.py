@@ -1,10 +1,12 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior labels.
 
-Voters are lexicons (seed words, and words and word beginnings that labelled rows show to go with label 1) and patterns;
-each votes 1, -1 or abstains. The label model estimates, by expectation maximisation without trusting any voter, how
-often each votes which way in either class; the given label is one voter more. Voters that agree beyond what the class
-explains are correlated: each one's evidence is divided by the number of voters that it amounts to. A logistic model is
-then fitted to the posteriors and alone scores every text.
+Voters are lexicons (seed words by kind of insult; words, and word beginnings, that go with label 1 in labelled rows, by
+how strongly) and patterns (several hits, an address by `you`, exclamation marks, long texts without a hit); each votes
+1, -1 or abstains. The annotators' label is one voter more, as fallible as others. The label model estimates by
+expectation maximisation that begins with the annotators' labels and then trusts no voter more than its agreement with the
+others warrants, how often each votes which way in either class, and which voters agree beyond what the class explains: of these pairwise terms it keeps the strongest that form a forest (Chow and Liu's
+tree within the classes), and a voter with a parent is judged given its parent's vote, so that an echo counts as little as
+it adds. A logistic model is then fitted to the posteriors and alone scores every text.
 """
 
 from __future__ import annotations
@@ -19,15 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import checkpoint, in_batches
+from citeweave.llm.common import in_batches, stored
 
 #: Labelled rows that are learned from: those of least hash of id, so many at most.
 MAX_LABELLED = 30_000
-#: Mined patterns kept, those of most evidence; of a pattern, the labelled rows with label 1 and the log odds it needs.
-MAX_PATTERNS, MIN_ROWS, MIN_ODDS = 4000, 4, 2.0
+#: Mined patterns kept by default, those of most evidence; of a pattern, the labelled rows with label 1 and the log odds it needs.
+MAX_PATTERNS, MIN_ROWS, MIN_ODDS = 4000, 8, 2.0
 #: Lengths of word beginnings.
 PREFIXES = (4, 5, 6, 7)
-WORD_VOTERS, PREFIX_VOTERS = 6, 4
+#: Log odds from which on a mined word or beginning belongs to a lexicon of words that go with label 1 weakly, clearly, strongly.
+TIERS = {"weakly": MIN_ODDS, "clearly": 3.0, "strongly": 4.0}
+#: Information (nats a row) that two voters share beyond the class for their pairwise term to be kept, and what twice the
+#: log-likelihood must gain at least.
+MIN_INFORMATION, MIN_GAIN = 0.01, 30.0
+#: How often the annotators' label is right, held against the votes as firmly as these weigh.
+ANCHOR = 0.99
+#: Labelled rows that are broadcast to find their texts; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 THRESHOLD = 0.3
 SEEDS = {
     "mind": "idiot idiots moron morons stupid dumb fool imbecile cretin halfwit dimwit brainless clueless",
@@ -36,6 +46,7 @@ SEEDS = {
     "hostility": "hate kill die hurt destroy shut burn choke despise",
     "obscenity": "damn crap hell bastard bitch ass arse shit fuck",
 }
+PATTERNS = ["several", "insulted", "shouting", "long_clean"]
 WORDS = re.compile(r"[^\W\d_]+")
 YOU = frozenset("you your u ur tu vous toi du dich ihr usted vosotros".split())
 TEXT_BYTES = 1 << 20
@@ -57,8 +68,9 @@ class Voters:
     seeds: list[frozenset[str]] = field(default_factory=lambda: [frozenset(s.split()) for s in SEEDS.values()])
 
     def __post_init__(self):
-        self.group = [WORD_VOTERS + zlib.crc32(p.encode()) % PREFIX_VOTERS if p.endswith("-") else zlib.crc32(p.encode()) % WORD_VOTERS for p in self.mined]
-        self.names = [*SEEDS, *(f"words{k}" for k in range(WORD_VOTERS)), *(f"beginnings{k}" for k in range(PREFIX_VOTERS)), "several", "insulted", "shouting", "clean", "long_clean"]
+        tier = lambda x: sum(x >= t for t in TIERS.values()) - 1
+        self.group = [max(0, tier(x)) + len(TIERS) * p.endswith("-") for p, x in zip(self.mined, self.odds, strict=True)]
+        self.names = [*SEEDS, *(f"words_{t}" for t in TIERS), *(f"beginnings_{t}" for t in TIERS), *PATTERNS]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def hits(self, word: str) -> tuple[int, ...]:
@@ -87,43 +99,84 @@ class Voters:
         base = len(self.seeds)
         for k in hit:
             votes[base + self.group[k]] = 1
-        several, insulted, shouting, clean, long_clean = range(len(self.names) - 5, len(self.names))
+        several, insulted, shouting, long_clean = range(len(self.names) - len(PATTERNS), len(self.names))
         strong = max(n_hit, seeded)
         votes[several] = 1 if strong >= 2 else 0
         votes[insulted] = 1 if strong and words & YOU else 0
         votes[shouting] = 1 if text.count("!") >= 3 and strong else 0
-        votes[clean] = -1 if not strong else 0
         votes[long_clean] = -1 if len(all_words) >= 100 and strong * 200 < len(all_words) else 0
         return votes, hit, n_hit
 
 
-def label_model(votes: np.ndarray, prior: float = 0.15, rounds: int = 60) -> tuple[np.ndarray, dict]:
-    """Posteriors of label 1 for rows of votes (-1, 0, 1), and what was estimated: prior, rates of each vote in each
-    class, effective number of voters that each one's evidence is shared among."""
+def forest(joint: np.ndarray, n: int, min_gain: float) -> list[int]:
+    """Each voter's parent, -1 for roots, in the maximum spanning forest of conditional mutual information.
+
+    joint: (class, voter, vote, voter, vote) shares of n rows; edges must gain min_gain in twice the log-likelihood.
+    """
+    m = joint.shape[1]
+    own = np.einsum("ciaib->cia", joint)
+    expected = own[:, :, :, None, None] * own[:, None, None] / joint.sum(axis=(2, 4))[:, :, None, :, None]
+    gain = 2 * n * np.where(joint > 0, joint * np.log(joint / np.maximum(expected, 1e-300), where=joint > 0, out=np.zeros_like(joint)), 0).sum(axis=(0, 2, 4))
+    edges = sorted(((gain[i, j], i, j) for i in range(m) for j in range(i + 1, m) if gain[i, j] >= min_gain), reverse=True)
+    tree, near = list(range(m)), [[] for _ in range(m)]
+    for _, i, j in edges:
+        if tree[i] != tree[j]:
+            old, new = tree[i], tree[j]
+            tree = [new if t == old else t for t in tree]
+            near[i].append(j)
+            near[j].append(i)
+    parent, seen = [-1] * m, set()
+    for root in range(m):
+        todo = [] if root in seen else [root]
+        seen.add(root)
+        while todo:
+            i = todo.pop()
+            for j in near[i]:
+                if j not in seen:
+                    parent[j] = i
+                    seen.add(j)
+                    todo.append(j)
+    return parent
+
+
+def label_model(votes: np.ndarray, start: np.ndarray | None = None, anchor: float | None = None, prior: float = 0.15, rounds: int = 80, min_information: float = MIN_INFORMATION) -> tuple[np.ndarray, dict]:
+    """Posteriors of label 1 for rows of votes (-1, 0, 1), and what was estimated: prior, rates (class, voter, vote),
+    parent of each voter in the forest of pairwise terms, accuracy of each voter where it votes. start: posteriors to
+    begin with; by default what most voters say, those that go together sharing their say."""
     n, m = votes.shape
-    one = [(votes == v).astype(float) for v in (-1, 0, 1)]
-    lean = votes.astype(float).sum(axis=1)
-    post = np.clip(prior + 0.3 * np.sign(lean) * (lean != 0), 0.02, 0.98)
-    share = np.ones(m)
+    one = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    flat = one.reshape(n, 3 * m)
+    if start is None:
+        value = votes - votes.mean(axis=0)
+        value /= np.maximum(value.std(axis=0), 1e-9)
+        say = 1 / np.maximum((np.clip(value.T @ value / n, 0, 1) ** 2).sum(axis=1), 1)
+        start = prior + 0.3 * np.sign(votes @ say)
+    post = np.clip(start, 0.02, 0.98)
+    parent, least = [-1] * m, np.array([0.5, 1.0, 0.5])
+    trust = np.zeros((2, m, 3))
+    if anchor is not None:  # as if so many rows had shown how often the anchor is right
+        trust[:, -1, 0], trust[:, -1, 2] = n * np.array([anchor, 1 - anchor]), n * np.array([1 - anchor, anchor])
     for step in range(rounds):
-        rates = np.stack([np.stack([(x * w[:, None]).sum(axis=0) + a for x, a in zip(one, (0.5, 1.0, 0.5), strict=True)]) for w in (1 - post, post)])
-        rates /= rates.sum(axis=1, keepdims=True)
+        weights = np.stack([1 - post, post])
         prior = float(np.clip(post.mean(), 0.01, 0.6))
-        if step in (5, 15, 30):  # correlations within the classes, from votes less their class's mean
-            value = votes.astype(float)
-            mean = np.stack([rates[c][2] - rates[c][0] for c in (0, 1)])
-            left = value - ((1 - post)[:, None] * mean[0] + post[:, None] * mean[1])
-            sd = left.std(axis=0) + 1e-9
-            corr = (left.T @ left) / n / np.outer(sd, sd)
-            share = 1 + np.clip(corr - np.eye(m), 0, 1).sum(axis=1)
-        log = np.log(rates)
-        evidence = sum(x @ ((log[1][k] - log[0][k]) / share) for k, x in enumerate(one))
-        new = 1 / (1 + np.exp(-np.clip(evidence + math.log(prior / (1 - prior)), -30, 30)))
-        if np.abs(new - post).max() < 1e-5 and step > 30:
-            post = new
+        rates = (weights @ flat).reshape(2, m, 3) + least + trust
+        rates /= rates.sum(axis=2, keepdims=True)
+        if step in (0, 10, 25, 45):
+            parent = forest(np.stack([(flat.T @ (w[:, None] * flat)).reshape(m, 3, m, 3) for w in weights]) / n, n, max(MIN_GAIN, 2 * n * min_information))
+        evidence = np.full(n, math.log(prior / (1 - prior)))
+        for i, p in enumerate(parent):
+            if p < 0:
+                evidence += one[:, i] @ np.log(rates[1, i] / rates[0, i])
+                continue
+            pairs = np.stack([one[:, p].T @ (w[:, None] * one[:, i]) for w in weights]) + 2 * rates[:, None, i]
+            pairs /= pairs.sum(axis=2, keepdims=True)  # (class, parent's vote, vote)
+            evidence += np.log(pairs[1] / pairs[0])[votes[:, p] + 1, votes[:, i] + 1]
+        new = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+        done, post = np.abs(new - post).max() < 1e-5 and step > 50, new
+        if done:
             break
-        post = new
-    return post, {"prior": prior, "rates": rates, "share": share}
+    right, wrong = prior * rates[1, :, 2] + (1 - prior) * rates[0, :, 0], prior * rates[1, :, 0] + (1 - prior) * rates[0, :, 2]
+    return post, {"prior": prior, "rates": rates, "parent": parent, "accuracy": right / (right + wrong)}
 
 
 def fit_logistic(rows: list[list[int]], values: list[list[float]], target: np.ndarray, size: int, l2: float = 2.0, rounds: int = 300) -> np.ndarray:
@@ -165,7 +218,7 @@ def texts_of(batches):
         yield [[x.as_py() for x in r[:-1]] for r in held], [r[-1].as_py() or "" for r in held]
 
 
-def mine(sample: DataFrame) -> Voters:
+def mine(sample: DataFrame, max_patterns: int = MAX_PATTERNS) -> Voters:
     """The patterns of sample (y, text) that go with label 1."""
 
     def run(batches):
@@ -181,16 +234,19 @@ def mine(sample: DataFrame) -> Voters:
     counts = sample.select("y", "text").mapInArrow(run, "pattern string, n0 long, n1 long").groupBy("pattern").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / n1) - F.log((F.col("n0") + 0.5) / n0)
     best = counts.filter(F.col("n1") >= MIN_ROWS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
-    best = best.orderBy((F.col("odds") * F.sqrt("n1")).desc(), "pattern").limit(MAX_PATTERNS).collect()
+    best = best.orderBy((F.col("odds") * F.sqrt("n1")).desc(), "pattern").limit(max_patterns).collect()
     return Voters({r.pattern: k for k, r in enumerate(best)}, [r.odds for r in best])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str, max_labelled: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str, max_labelled: int = MAX_LABELLED, max_patterns: int = MAX_PATTERNS) -> Model:
     """A model of labelled rows that are not held out, of at most max_labelled of them."""
-    labels = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out("i")).dropDuplicates(["i"])
+    labels = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out("i"))
+    labels = labels.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("high")).filter("y = high").drop("high")
     labels = labels.orderBy(F.xxhash64("i"), "i").limit(max_labelled)
-    sample = checkpoint(docs.select(F.col(id_col).alias("i"), F.col(text).alias("text")).join(labels, "i").select("y", "text"))
-    voters = mine(sample)
+    # the texts stay where they are: the chosen labels, max_labelled at most, go to them
+    labels = F.broadcast(labels) if max_labelled <= MAX_BROADCAST else labels
+    sample = stored(docs.select(F.col(id_col).alias("i"), F.col(text).alias("text")).join(labels, "i").select("y", "text"))
+    voters = mine(sample, max_patterns)
 
     def run(batches):
         for heads, texts in texts_of(batches):
@@ -203,20 +259,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str,
         model.weights[-1] = -3.0
         return model
     votes = np.array([[*r[1], 2 * r[0] - 1] for r in rows], np.int8)
-    posterior, model.label_model = label_model(votes)
+    posterior, model.label_model = label_model(votes, start=np.where(votes[:, -1] > 0, 0.9, 0.05), anchor=ANCHOR)
     pairs = [model.features(np.array(r[1], np.int8), r[2], r[3]) for r in rows]
     model.weights = fit_logistic([p[0] for p in pairs], [p[1] for p in pairs], posterior, len(model.weights) - 1)
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", *, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", *, max_labelled: int = MAX_LABELLED, max_patterns: int = MAX_PATTERNS, threshold: float = THRESHOLD) -> DataFrame:
     """One row a row of docs: id_col, held_out, score, predicted.
 
     Null and empty texts are scored like any other, by the votes of an empty text. Without usable labels the score is
-    the same low number for all texts. Labels other than 0 and 1 are not used, one of repeated labels of an id is. Other
-    columns are left out. No rows give no rows.
+    the same low number for all texts. Labels other than 0 and 1 are not used, nor those of an id that has both; equal
+    ones of an id count once, rows repeating an id each with its own text. Of the labels max_labelled at most are learned
+    from, of the patterns mined in their texts max_patterns. Other columns are left out. No rows give no rows.
     """
-    model = fit(docs, labels, text, id_col, label, max_labelled)
+    model = fit(docs, labels, text, id_col, label, max_labelled, max_patterns)
     docs = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("out"), F.col(text).alias("text"))
 
     def run(batches):

@@ -1,9 +1,10 @@
 """URL filters by a sort-merge range join, in DataFrame operations only.
 
-A host's labels reversed, each with a dot after it, sort so that a rule's host and all its subdomains are one interval of
-keys, and intervals of rules nest or are apart. URLs and rule starts are sorted together; a sweep carries the last rule
-start passed with the stack of rules that it is nested in. What of this stack is still open at a URL's key (the others
-are popped) holds exactly the rules of the URL's host; of those whose path begins the URL's the longest decides.
+The key of a rule or URL is its host's labels reversed, a separator and its path, so that what a rule's host and path
+begin is one interval of keys, and intervals of rules nest or are apart. A URL has a key for its host and for each host
+above it that rules name, as rules hold for subdomains. Keys and rule starts are sorted together; a sweep carries the last
+rule start passed with the stack of rules that it is nested in. What of this stack is still open at a key (the others are
+popped) are the rules that hold there; over a URL's keys the longest decides.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from citeweave.llm.common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RULE = "struct<start:string,stop:string,host:string,path:string,action:string>"
+SEPARATOR = "\x01"
+RULE = "struct<start:string,host:string,path:string,action:string>"
+#: Rule hosts up to which they are broadcast, to leave out hosts that no rule names; beyond it these are joined by a shuffle.
+MAX_BROADCAST = 200_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -29,14 +33,14 @@ def host_key(host: Column) -> Column:
 
 
 def stacks(rules: DataFrame) -> DataFrame:
-    """(key, stack) of each rule host: its rules and those of the hosts above it, outermost first."""
+    """(key, host_key, stack) of each rule start: the rules whose intervals hold it, those of its host whose paths begin
+    its path. Looked up at the lengths that paths of the host have, so a stack is as deep as paths nest."""
     rules = rules.select(F.translate(F.col("host"), UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action").filter("host <> ''").distinct()
-    # a dot is followed by a slash in the order of bytes, so a key with its last dot made a slash ends its interval
-    keyed = rules.withColumn("start", host_key(F.col("host"))).withColumn("stop", F.concat(F.expr("substring(start, 1, length(start) - 1)"), F.lit("/")))
-    hosts = keyed.select(F.col("start").alias("key")).distinct()
-    labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.")
-    above = hosts.select("key", F.explode(F.transform(labels, lambda x, i: F.concat(F.array_join(F.slice(labels, 1, i + 1), "."), F.lit(".")))).alias("start"))
-    return above.join(keyed, "start").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "host", "path", "action"))).alias("stack"))
+    keyed = rules.withColumn("host_key", host_key(F.col("host"))).withColumn("start", F.concat("host_key", F.lit(SEPARATOR), "path"))
+    sizes = keyed.groupBy("host_key").agg(F.collect_set(F.length("path")).alias("sizes"))
+    each = keyed.select("host_key", "path", F.col("start").alias("key")).distinct().join(sizes, "host_key")
+    each = each.select("key", "host_key", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.length("path")), lambda n: F.concat("host_key", F.lit(SEPARATOR), F.substring(F.col("path"), F.lit(1), n)))).alias("start"))
+    return each.join(keyed.drop("host_key"), "start").groupBy("key", "host_key").agg(F.sort_array(F.collect_list(F.struct("start", "host", "path", "action"))).alias("stack"))
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "page_id", *, default: str = "allow") -> DataFrame:
@@ -45,15 +49,23 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "pa
     rules: host, path, action. A rule fits its host and its subdomains where its path begins the URL's; the longest (host
     and path together, then host) decides; the first in order of text where a rule has two actions. Without a rule the
     verdict is default. Null URLs and those without `://` have an empty host and path, and no rule. Repeated rows stay
-    apart; other columns are left out. No rows give no rows.
+    apart; other columns are left out. No rows give no rows, no rules the default for all.
     """
     parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url))
-    pages = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
-    starts = stacks(rules).select(F.lit(None).cast(pages.schema["id"].dataType).alias("id"), F.lit("").alias("host"), F.lit("").alias("path"), "key", F.lit(0).alias("kind"), "stack")
-    events = pages.select("id", "host", "path", "key", F.lit(1).alias("kind"), F.lit(None).cast(f"array<{RULE}>").alias("stack")).union(starts)
-    # the path and id part the pages of one host too, so that a host of a third of all pages is not one task's
-    events = stored(events.repartitionByRange(parts, "key", "kind", "path", "id").withColumn("part", F.spark_partition_id()))
+    pages = stored(urls.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), host.alias("host"), path.alias("path")))
+    starts = stored(stacks(rules))
+
+    # a URL has a key for its host and for each one above it that rules name
+    labels = F.reverse(F.split("host", r"\."))
+    above = F.transform(labels, lambda x, i: F.concat(F.array_join(F.slice(labels, 1, i + 1), "."), F.lit(".")))
+    keys = pages.filter("host <> ''").select("row", "path", F.explode(above).alias("host_key"))
+    hosts = starts.select("host_key").distinct()
+    keys = keys.join(F.broadcast(hosts) if hosts.count() <= MAX_BROADCAST else hosts, "host_key", "left_semi")
+    events = keys.select("row", F.concat("host_key", F.lit(SEPARATOR), "path").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(f"array<{RULE}>").alias("stack"))
+    events = events.union(starts.select(F.lit(-1).cast("long").alias("row"), "key", F.lit(0).alias("kind"), "stack"))
+    # the row parts URLs of one key too, so that one that a third of all rows have is not one task's
+    events = stored(events.repartitionByRange(parts, "key", "kind", "row").withColumn("part", F.spark_partition_id()))
 
     # what each part's sweep begins with: the last rule start in the parts before it; a row a part
     ends = events.groupBy("part").agg(F.max_by("stack", F.when(F.col("kind") == 0, F.col("key"))).alias("last"))
@@ -61,8 +73,9 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "pa
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.withColumn("passed", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1").join(F.broadcast(before), "part")
 
+    # of the start passed last, the rules still open here are those that begin the key; the last is the longest
     passed = F.coalesce("passed", "before", F.array().cast(f"array<{RULE}>"))
-    fits = F.filter(passed, lambda r: (r["stop"] > F.col("key")) & F.startswith(F.col("path"), r["path"]))
+    fits = F.filter(passed, lambda r: F.startswith(F.col("key"), r["start"]))
     ranked = F.transform(fits, lambda r: F.struct((-F.length(r["host"]) - F.length(r["path"])).alias("size"), (-F.length(r["host"])).alias("of_host"), r["action"].alias("action"), F.concat(r["host"], r["path"]).alias("rule")))
-    out = swept.withColumn("best", F.array_min(ranked))
-    return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    found = swept.select("row", F.array_min(ranked).alias("best")).filter("best is not null").groupBy("row").agg(F.min("best").alias("best"))
+    return pages.join(found, "row", "left").select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

@@ -248,3 +248,87 @@ def test_no_rows(spark):
     rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, action string")
     for out in (near_dedup.near_duplicates(none), repeated_phrases.remove_repeats(none), line_frequency.line_frequency_rules(none), templates.contaminated(none, items), language.identify(none), toxicity.score_toxicity(none, labels), licences.scan_licences(none), url_rules.judge(urls, rules)):
         assert out.collect() == []
+
+
+def test_filters_against_sets():
+    """More languages than a machine word has bits: every member answers, and counts come close to those of sets."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    members = [np.unique(r.integers(0, 1 << 32, 300, np.uint32)) for _ in range(150)]
+    f = language.Filters.of([f"l{k}" for k in range(150)], members, 1 << 14)
+    assert f.table.shape == (3, 1 << 14)
+    for k in (0, 63, 64, 149):
+        masks = f.masks(members[k])
+        assert f.counts(masks)[k] == len(members[k])
+        exact = np.array([len(np.intersect1d(members[k], m)) for m in members], float)
+        true = (f.counts(masks) - len(members[k]) * f.false_rate) / (1 - f.false_rate)
+        assert np.abs(true - exact).max() <= 6
+    small = language.Filters.of(["a"], [members[0]])
+    assert small.table.dtype == np.uint8 and small.predict(None) == small.predict("42 !") == ("und", 0.0)
+
+
+def test_all_languages_are_learned(spark):
+    """Seventy languages, one of many rows of which few are learned from; repeated rows, nulls, clashing names."""
+    import random
+
+    vocabulary = {k: ["".join(random.Random(f"{k}-{j}").choices("abcdefghijklmnopqrstuvwxyz", k=6)) for j in range(9)] for k in range(70)}
+    text = lambda k, i: " ".join(vocabulary[k][(i + j) % 9] for j in range(30))
+    rows = [(k * 100 + i, text(k, i), f"l{k}", "s", None, "", "", "", "") for k in range(70) for i in range(9)]
+    rows += [(7000 + i, text(3, i), "l3", "s", None, "", "", "", "") for i in range(400)] + [rows[0], rows[0], (None, text(1, 1), None, "", None, "", "", "", ""), (8000, None, "l1", "", None, "", "", "", "")]
+    got = language.identify(frame(spark, rows), max_rows=20).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) and sum(r.doc_id == 0 for r in got) == 3
+    judged = [r.lang_pred == truth[r.doc_id] for r in got if r.held_out and r.doc_id not in (None, 8000)]
+    assert len(judged) > 150 and sum(judged) >= 0.97 * len(judged)
+    assert [r.lang_pred for r in got if r.doc_id == 8000] == ["und"]
+
+
+def test_label_model_finds_accuracies_and_echoes():
+    """Votes of known rates: these come back, an echo is tied to its voice, and counts for little."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    n, accuracy, covers = 8000, np.array([0.9, 0.85, 0.8, 0.75, 0.7]), 0.6
+    y = r.random(n) < 0.3
+    votes = np.where(r.random((n, 5)) < accuracy, np.where(y, 1, -1)[:, None], np.where(y, -1, 1)[:, None]) * (r.random((n, 5)) < covers)
+    echoes = np.where(r.random((n, 4)) < 0.9, votes[:, 4:5], r.integers(-1, 2, (n, 4)))
+    post, model = toxicity.label_model(np.hstack([votes, echoes]).astype(np.int8))
+    assert np.abs(model["accuracy"][:5] - accuracy).max() < 0.05 and abs(model["prior"] - 0.3) < 0.05
+    assert all(p < 0 for p in model["parent"][:4]) and sum(p >= 4 for p in model["parent"]) == 4
+    _, alone = toxicity.label_model(np.hstack([votes, echoes]).astype(np.int8), min_information=np.inf)
+    right = lambda p: ((p > 0.5) == y).mean()
+    best, _ = toxicity.label_model(votes.astype(np.int8))
+    assert right(post) > right(best) - 0.01 and right(post) > right(toxicity.label_model(np.hstack([votes, echoes]).astype(np.int8), min_information=np.inf)[0]) + 0.01
+
+
+def test_toxicity_of_awkward_labels(spark):
+    rows = awkward(30) + [(700, "you stupid idiot moron", "en", "s", None, "", "", "", "")] * 2
+    labels = [(0, 1), (0, 1), (1, 0), (1, 1), (2, None), (3, 7), (None, 1), (12, 0), (13, 0)]
+    labels = spark.createDataFrame([(*x, "x") for x in labels], "doc_id long, toxic int, text string")
+    got = toxicity.score_toxicity(frame(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert len({r.score for r in got if r.doc_id == 700}) == 1
+    none = toxicity.score_toxicity(frame(spark, rows), labels.filter("false")).collect()
+    assert len({r.score for r in none}) == 1 and toxicity.score_toxicity(frame(spark, []), labels).collect() == []
+
+
+def test_many_nested_url_rules(spark):
+    """Rules of nested paths on hosts and hosts above them, against trying every rule; more parts than rules."""
+    import random
+
+    r = random.Random(6)
+    path = lambda n: "/" + "".join(r.choice(["a", "b", "a/", "/"]) for _ in range(n))
+    hosts = ["net", "x.net", "y.x.net", "x.nets", "org", "a.org"]
+    rules = list({(r.choice(hosts), r.choice(["", "/", path(r.randint(0, 5))]), r.choice(["block", "allow"])) for _ in range(120)})
+    urls = [f"http://{r.choice(['', 'z.', 'q.z.'])}{r.choice(hosts)}{r.choice(['', path(r.randint(0, 7))])}" for _ in range(300)]
+    df = spark.createDataFrame([(i % 250, u, "x", 0) for i, u in enumerate(urls)], "page_id long, url string, path string, row int").repartition(3)
+
+    def best(url):
+        host, slash, rest = url[7:].partition("/")
+        fits = [(-len(h) - len(p), -len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and (slash + rest).startswith(p)]
+        return min(fits)[2:] if fits else ("allow", None)
+
+    got = url_rules.judge(df, spark.createDataFrame(rules, "host string, path string, action string")).collect()
+    assert sorted((r.page_id, r.verdict, r.rule or "") for r in got) == sorted((i % 250, best(u)[0], best(u)[1] or "") for i, u in enumerate(urls))
+    assert {r.verdict for r in url_rules.judge(df, spark.createDataFrame([], "host string, path string, action string")).collect()} == {"allow"}

@@ -59,15 +59,6 @@ def test_windows_hold_the_mixture():
             assert abs(window[k][s] - total[s] / n * 2048) <= 3
 
 
-def test_deficits_are_carried_over_partitions(spark):
-    rows = [(i, "w " * 300, "en", "s0" if i < 40 else "s1", None, "", "", "", "") for i in range(80)]
-    got = pack(frame(spark, rows).repartitionByRange(4, "doc_id"), length=128, window=2).collect()
-    served = Counter()
-    for p in got:
-        served[p.source] += p.length
-    assert served["s0"] == served["s1"]
-
-
 def test_windows_of_sorted_partitions_hold_the_mixture(spark):
     rows = [(i, "w " * 300, "en", "s0" if i < 40 else "s1" if i < 60 else None, None, "", "", "", "") for i in range(80)]
     got = pack(frame(spark, rows).repartitionByRange(4, "doc_id"), length=128, window=4).collect()
