@@ -25,8 +25,10 @@ from citeweave.llm.common import in_batches, stored
 
 #: Labelled rows that are learned from: those of least hash of id, so many at most.
 MAX_LABELLED = 30_000
-#: Mined patterns kept by default, those of most evidence; of a pattern, the labelled rows with label 1 and the log odds it needs.
-MAX_PATTERNS, MIN_ROWS, MIN_ODDS = 4000, 8, 2.0
+#: Mined patterns kept by default, those of most evidence; of a pattern, the labelled rows with label 1 and the log odds it needs;
+#: of r rows with label 1 it needs ROWS_BY_ROOT * r**0.5 at least, as more rows bring more words that go with the label by chance.
+MAX_PATTERNS, MIN_ROWS, MIN_ODDS = 4000, 4, 2.0
+ROWS_BY_ROOT = 0.45
 #: Lengths of word beginnings.
 PREFIXES = (4, 5, 6, 7)
 #: Log odds from which on a mined word or beginning belongs to a lexicon of words that go with label 1 weakly, clearly, strongly.
@@ -233,7 +235,7 @@ def mine(sample: DataFrame, max_patterns: int = MAX_PATTERNS) -> Voters:
     n0, n1 = total.get(0, 0) + 1, total.get(1, 0) + 1
     counts = sample.select("y", "text").mapInArrow(run, "pattern string, n0 long, n1 long").groupBy("pattern").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / n1) - F.log((F.col("n0") + 0.5) / n0)
-    best = counts.filter(F.col("n1") >= MIN_ROWS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
+    best = counts.filter(F.col("n1") >= max(MIN_ROWS, ROWS_BY_ROOT * n1**0.5)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
     best = best.orderBy((F.col("odds") * F.sqrt("n1")).desc(), "pattern").limit(max_patterns).collect()
     return Voters({r.pattern: k for k, r in enumerate(best)}, [r.odds for r in best])
 
