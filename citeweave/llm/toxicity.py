@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior labels.
 
 Voters are lexicons (seed words by kind of insult; words, and word beginnings, that go with label 1 in labelled rows, by
-how strongly) and patterns (several hits, an address by `you`, exclamation marks, long texts without a hit); each votes
+how strongly) and patterns (an address by `you`, exclamation marks, long texts without a hit); each votes
 1, -1 or abstains. The annotators' label is one voter more, as fallible as others. The label model estimates by
 expectation maximisation that begins with the annotators' labels and then trusts no voter more than its agreement with the
 others warrants, how often each votes which way in either class, and which voters agree beyond what the class explains: of these pairwise terms it keeps the strongest that form a forest (Chow and Liu's
@@ -28,7 +28,7 @@ MAX_LABELLED = 30_000
 #: Mined patterns kept by default, those of most evidence; of a pattern, the labelled rows with label 1 and the log odds it needs;
 #: of r rows with label 1 it needs ROWS_BY_ROOT * r**0.5 at least, as more rows bring more words that go with the label by chance.
 MAX_PATTERNS, MIN_ROWS, MIN_ODDS = 4000, 4, 2.0
-ROWS_BY_ROOT = 0.45
+ROWS_BY_ROOT = 0.5
 #: Lengths of word beginnings.
 PREFIXES = (4, 5, 6, 7)
 #: Log odds from which on a mined word or beginning belongs to a lexicon of words that go with label 1 weakly, clearly, strongly.
@@ -48,7 +48,7 @@ SEEDS = {
     "hostility": "hate kill die hurt destroy shut burn choke despise",
     "obscenity": "damn crap hell bastard bitch ass arse shit fuck",
 }
-PATTERNS = ["several", "insulted", "shouting", "long_clean"]
+PATTERNS = ["insulted", "shouting", "long_clean"]
 WORDS = re.compile(r"[^\W\d_]+")
 YOU = frozenset("you your u ur tu vous toi du dich ihr usted vosotros".split())
 TEXT_BYTES = 1 << 20
@@ -101,9 +101,8 @@ class Voters:
         base = len(self.seeds)
         for k in hit:
             votes[base + self.group[k]] = 1
-        several, insulted, shouting, long_clean = range(len(self.names) - len(PATTERNS), len(self.names))
+        insulted, shouting, long_clean = range(len(self.names) - len(PATTERNS), len(self.names))
         strong = max(n_hit, seeded)
-        votes[several] = 1 if strong >= 2 else 0
         votes[insulted] = 1 if strong and words & YOU else 0
         votes[shouting] = 1 if text.count("!") >= 3 and strong else 0
         votes[long_clean] = -1 if len(all_words) >= 100 and strong * 200 < len(all_words) else 0
