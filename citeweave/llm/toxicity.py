@@ -2,9 +2,8 @@
 
 Voters are lexicons (seed words by kind of insult; words, and word beginnings, that go with label 1 in labelled rows, by
 how strongly) and patterns (an address by `you`, exclamation marks, long texts without a hit); each votes
-1, -1 or abstains. The annotators' label is one voter more, as fallible as others. The label model estimates by
-expectation maximisation that begins with the annotators' labels and then trusts no voter more than its agreement with the
-others warrants, how often each votes which way in either class, and which voters agree beyond what the class explains: of these pairwise terms it keeps the strongest that form a forest (Chow and Liu's
+1, -1 or abstains. The annotators' label is one voter more, of a given reliability. The label model estimates by
+expectation maximisation that begins with the annotators' labels, how often each votes which way in either class, and which voters agree beyond what the class explains: of these pairwise terms it keeps the strongest that form a forest (Chow and Liu's
 tree within the classes), and a voter with a parent is judged given its parent's vote, so that an echo counts as little as
 it adds. A logistic model is then fitted to the posteriors and alone scores every text.
 """
@@ -37,7 +36,7 @@ TIERS = {"weakly": MIN_ODDS, "clearly": 3.0, "strongly": 4.0}
 #: log-likelihood must gain at least.
 MIN_INFORMATION, MIN_GAIN = 0.01, 30.0
 #: How often the annotators' label is right, held against the votes as firmly as these weigh.
-ANCHOR = 0.99
+ANCHOR = 0.98
 #: Labelled rows that are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 THRESHOLD = 0.3
@@ -109,15 +108,17 @@ class Voters:
         return votes, hit, n_hit
 
 
-def forest(joint: np.ndarray, n: int, min_gain: float) -> list[int]:
+def forest(joint: np.ndarray, n: int, min_gain: float, alone: list[int]) -> list[int]:
     """Each voter's parent, -1 for roots, in the maximum spanning forest of conditional mutual information.
 
-    joint: (class, voter, vote, voter, vote) shares of n rows; edges must gain min_gain in twice the log-likelihood.
+    joint: (class, voter, vote, voter, vote) shares of n rows; edges must gain min_gain in twice the log-likelihood;
+    those `alone` have none.
     """
     m = joint.shape[1]
     own = np.einsum("ciaib->cia", joint)
     expected = own[:, :, :, None, None] * own[:, None, None] / joint.sum(axis=(2, 4))[:, :, None, :, None]
     gain = 2 * n * np.where(joint > 0, joint * np.log(joint / np.maximum(expected, 1e-300), where=joint > 0, out=np.zeros_like(joint)), 0).sum(axis=(0, 2, 4))
+    gain[alone], gain[:, alone] = 0, 0
     edges = sorted(((gain[i, j], i, j) for i in range(m) for j in range(i + 1, m) if gain[i, j] >= min_gain), reverse=True)
     tree, near = list(range(m)), [[] for _ in range(m)]
     for _, i, j in edges:
@@ -142,8 +143,8 @@ def forest(joint: np.ndarray, n: int, min_gain: float) -> list[int]:
 
 def label_model(votes: np.ndarray, start: np.ndarray | None = None, anchor: float | None = None, prior: float = 0.15, rounds: int = 80, min_information: float = MIN_INFORMATION) -> tuple[np.ndarray, dict]:
     """Posteriors of label 1 for rows of votes (-1, 0, 1), and what was estimated: prior, rates (class, voter, vote),
-    parent of each voter in the forest of pairwise terms, accuracy of each voter where it votes. start: posteriors to
-    begin with; by default what most voters say, those that go together sharing their say."""
+    parent of each voter in the forest of pairwise terms, accuracy of each voter where it votes. anchor: how often the
+    last voter is right, if it is known rather than estimated. start: posteriors to begin with; by default what most voters say, those that go together sharing their say."""
     n, m = votes.shape
     one = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
     flat = one.reshape(n, 3 * m)
@@ -154,16 +155,15 @@ def label_model(votes: np.ndarray, start: np.ndarray | None = None, anchor: floa
         start = prior + 0.3 * np.sign(votes @ say)
     post = np.clip(start, 0.02, 0.98)
     parent, least = [-1] * m, np.array([0.5, 1.0, 0.5])
-    trust = np.zeros((2, m, 3))
-    if anchor is not None:  # as if so many rows had shown how often the anchor is right
-        trust[:, -1, 0], trust[:, -1, 2] = n * np.array([anchor, 1 - anchor]), n * np.array([1 - anchor, anchor])
+    firm = [] if anchor is None else [m - 1]
     for step in range(rounds):
         weights = np.stack([1 - post, post])
         prior = float(np.clip(post.mean(), 0.01, 0.6))
-        rates = (weights @ flat).reshape(2, m, 3) + least + trust
+        rates = (weights @ flat).reshape(2, m, 3) + least
         rates /= rates.sum(axis=2, keepdims=True)
+        rates[:, firm] = [[[anchor, 1e-9, 1 - anchor]], [[1 - anchor, 1e-9, anchor]]] if firm else rates[:, firm]
         if step in (0, 10, 25, 45):
-            parent = forest(np.stack([(flat.T @ (w[:, None] * flat)).reshape(m, 3, m, 3) for w in weights]) / n, n, max(MIN_GAIN, 2 * n * min_information))
+            parent = forest(np.stack([(flat.T @ (w[:, None] * flat)).reshape(m, 3, m, 3) for w in weights]) / n, n, max(MIN_GAIN, 2 * n * min_information), firm)
         evidence = np.full(n, math.log(prior / (1 - prior)))
         for i, p in enumerate(parent):
             if p < 0:
