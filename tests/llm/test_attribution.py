@@ -1,9 +1,10 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 from citeweave.llm.attribution import RULES, attribute_tokens, lines
-from citeweave.llm.tokens import encoder, tokenizer_path
+from citeweave.llm.tokens import Encoder, encoder, tokenizer_path
 from tests.llm.fixtures import awkward, frame
 
 
@@ -65,3 +66,11 @@ def test_a_tokenizer_that_is_not_byte_level(spark):
 
 def test_no_rows(spark):
     assert attribute_tokens(frame(spark, [])).collect() == []
+
+
+def test_encoder_is_the_library_whatever_stands_between_words():
+    pieces = ["a", "É", "中", "1", "²", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "...", "!?", "<|endoftext|>", " ", "_", "́", "word", "\x1c", "\x85"]
+    draw = random.Random(7)
+    texts = ["", " ", "\n"] + ["".join(draw.choices(pieces, k=draw.randint(0, 12))) for _ in range(3000)]
+    e = Encoder(tokenizer_path(), max_kept=1000)
+    assert [x for k in range(0, len(texts), 500) for x in e.encode(texts[k : k + 500])] == e.exact(texts)
