@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import checkpoint, in_batches, stored
+from citeweave.llm.common import checkpoint, forget, in_batches, stored
 from citeweave.llm.components import connected_components
 from citeweave.llm.hashing import CHUNK, mix, run_hashes, word_hashes
 
@@ -28,9 +28,10 @@ FINE_SAMPLES, FINE_BITS = 1792, 2048
 BLOCK = 1024
 #: Standard deviations of the MinHash estimate that a candidate may fall short of the threshold.
 SLACK = 6
-#: Candidates of a document that a round looks at in full, those of most alike sketches, and rounds before whatever
-#: buckets still hold several classes are compared across all of these.
-BEST, ROUNDS = 2, 6
+#: Candidates of a document whose sketches a round compares, those that most of its buckets name; of these the ones it
+#: looks at in full, with the most alike sketches; and rounds before whatever buckets still hold several classes are
+#: compared across all of these.
+NAMED, BEST, ROUNDS = 8, 2, 6
 #: A round that finds less than this share of the first one's links is the last.
 MIN_GAIN = 0.02
 #: Columns of shingle hashes permuted at once, for the processor's cache.
@@ -246,6 +247,13 @@ def without(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
+def most_named(pairs: DataFrame) -> DataFrame:
+    """Of rows (a, b, of, named), a member's candidates that most buckets name; it has two a band at most. The others'
+    turn is in later rounds, or when whole buckets are compared."""
+    best = F.slice(F.sort_array(F.collect_list(F.struct("named", "a", "b")), asc=False), 1, NAMED)
+    return pairs.groupBy("of").agg(best.alias("x")).select("of", F.explode("x").alias("x")).select("x.a", "x.b", "of")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the threshold."""
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
@@ -271,8 +279,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     xxhash64 of the text (null: empty), which tells rows of one id apart. No rows give no rows.
 
     Equal sets become one representative first, so exact copies cost nothing further. Then, in rounds, every
-    representative in a band bucket of several classes meets a member of another class in it; the candidates that the
-    sketches show as most alike are confirmed on full sets, and links join classes. Groups of near copies are one class
+    representative in a band bucket of several classes meets a member of another class in it; of the candidates that most
+    buckets name, those that the sketches show as most alike are confirmed on full sets, and links join classes. Groups of near copies are one class
     after a few rounds without their pairs having been formed. In whatever buckets still hold several classes, all finer
     sketches are compared across classes, in blocks, and what they do not rule out on full sets, so that no link between
     two classes is missed.
@@ -293,8 +301,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     links = classes = tested = first = None
     for turn in range(ROUNDS):
         pivots = mixed_buckets(members, classes, turn).select("id", "class", F.explode(F.array("low", "high")).alias("p")).filter("class <> p.class")
-        pairs = pivots.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("id").alias("of")).distinct()
-        near = plausible(without(pairs, tested), reps_in, percent).groupBy("of").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "a", "b"))), 1, BEST).alias("x"))
+        pairs = pivots.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("id").alias("of")).groupBy("a", "b", "of").agg(F.count("*").alias("named"))
+        near = plausible(most_named(without(pairs, tested)), reps_in, percent).groupBy("of").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "a", "b"))), 1, BEST).alias("x"))
         near = checkpoint(near.select(F.explode("x").alias("x")).select("x.a", "x.b").distinct())
         new = checkpoint(confirmed(near, sets, percent))
         found = new.count()
@@ -304,6 +312,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         links = new if links is None else links.union(new)
         classes = connected_components(links)
         first = found if turn == 0 else first
+        forget(docs.sparkSession)  # the round's shuffles, full sets among them
         if found < MIN_GAIN * first:
             break
 
