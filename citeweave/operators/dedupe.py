@@ -12,8 +12,9 @@ from citeweave.functions.text import title_key
 COUNTED = ["title", "author", "journal", "year", "volume", "number", "pages", "doi", "url", "publisher"]
 
 
-def duplicate_key(doi: Column, title: Column, author: Column) -> Column:
-    fuzzy = F.concat(F.lit("fuzzy:"), title_key(title), F.lit("|"), F.array_join(F.array_sort(surnames(author, 3)), ","))
+def duplicate_key(doi: Column, title: Column, author: Column, markup: bool = True) -> Column:
+    """What duplicates share: the DOI, else title and first surnames. markup=False: titles are known to hold none."""
+    fuzzy = F.concat(F.lit("fuzzy:"), title_key(title, markup), F.lit("|"), F.array_join(F.array_sort(surnames(author, 3)), ","))
     return F.coalesce(F.concat(F.lit("doi:"), doi_normalize(doi)), fuzzy)
 
 

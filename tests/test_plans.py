@@ -2,10 +2,12 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 
 from citeweave.operators import status as T
 from citeweave.operators import summaries as U
+from citeweave.plans import catalog
 from citeweave.plans import metric_queries as Q
 
 
@@ -30,3 +32,24 @@ def test_status_summary_of_all_documents(spark, folder):
 def test_statuses_without_a_result_count_nothing(spark):
     got = {r.status: r.n for r in U.status_summary(spark.createDataFrame([("verified",), ("verified",)], "status string")).collect()}
     assert got == {s[0]: 2 * (s[0] == "verified") for s in T.STATUSES}
+
+
+def documents(spark, tmp_path, texts):
+    spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def by_sql(folder, name):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+        return Counter(c.execute(catalog.ORACLE[name]).fetchall())
+
+
+def by_spark(spark, folder, name):
+    return Counter(map(tuple, catalog.QUERIES[name](spark, folder).collect()))
+
+
+def test_words_between_dollars_are_a_title_s(spark, tmp_path):
+    texts = {2: "Of$$$ one first$$$ word", 266: "Of$$$ one first$$$ word", 530: "Of$$$ other$$$ word", 5: "a &amp; b", 269: "a & b"}
+    folder = documents(spark, tmp_path, texts)
+    assert by_spark(spark, folder, "duplicate_groups") == by_sql(folder, "duplicate_groups") == Counter([("fuzzy:of one first word|muller,others", 2, 2)])
