@@ -53,3 +53,10 @@ def test_words_between_dollars_are_a_title_s(spark, tmp_path):
     texts = {2: "Of$$$ one first$$$ word", 266: "Of$$$ one first$$$ word", 530: "Of$$$ other$$$ word", 5: "a &amp; b", 269: "a & b"}
     folder = documents(spark, tmp_path, texts)
     assert by_spark(spark, folder, "duplicate_groups") == by_sql(folder, "duplicate_groups") == Counter([("fuzzy:of one first word|muller,others", 2, 2)])
+
+
+def test_pairs_of_many_copies(spark, tmp_path):
+    """More copies than a list holds, more titles of one block than a part holds."""
+    texts = {i: "Shared title of many a copy here" for i in range(600)} | {i: f"Shared title number {i} of its own" for i in range(600, 1000)} | {i: f"Other{i % 3} title number {i % 40} stands here" for i in range(1000, 1100)}
+    folder = documents(spark, tmp_path, texts)
+    assert by_spark(spark, folder, "title_pairs") == by_sql(folder, "title_pairs")
